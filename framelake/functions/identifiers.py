@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in the widest sense: ASCII controls, every Unicode space, zero-width marks.
-SPACE = r"[\s\p{Z}\x{85}\x{feff}\x{200b}]"
+#: White space: ASCII controls and every Unicode space.
+SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
 def hex64(text: Column) -> Column:

@@ -1,4 +1,7 @@
 """The registry of core queries and of the SQL they are held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from framelake.plans import media
+
+_MODULES = (media,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
