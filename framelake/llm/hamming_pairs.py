@@ -24,6 +24,8 @@ import random
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +70,80 @@ def _pick(index: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), (index + 1).cast("int"))
 
 
-def _accept(x: Column, max_distance: int, tolerance: float, order: list[int]) -> Column:
-    cond = F.lit(True)
-    for k in (16, 32, 48):
-        cond = cond & (F.bit_count(x.bitwiseAND(F.lit(mask_of(order[:k])))) <= allowed(k, max_distance, tolerance))
-    return cond & (F.bit_count(x) <= max_distance)
+def _band_pairs(rows: DataFrame, keys: list[str], blocks: list[list[int]], parts: list[list[int]] | None, max_distance: int, tolerance: float, order: list[int]) -> DataFrame:
+    """Close pairs within the bands of ``rows`` (``keys``, ``h``), each emitted by its own band only.
+
+    Rows are brought together by ``keys`` and sorted; a task then compares each
+    row with the one 1, 2, 3, ... places further in its band, for all rows at
+    once, and holds one band at a time.
+    """
+    bands = list(combinations(range(len(blocks)), 2))
+    block_masks = [np.int64(mask_of(b)) for b in blocks]
+    part_masks = None if parts is None else np.array(parts, dtype=np.int64)
+    own_of = np.array([(1 << i) | (1 << j) for i, j in bands])
+    rounds = [(np.int64(mask_of(order[:k])), allowed(k, max_distance, tolerance)) for k in (16, 32, 48)]
+
+    def ones(x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would take the absolute value
+
+    def owned(x: np.ndarray, band: np.ndarray, part: np.ndarray | None) -> np.ndarray:
+        agree = sum(((x & m) == 0).astype(np.int64) << t for t, m in enumerate(block_masks))
+        low = agree & -agree
+        rest = agree ^ low
+        ok = (low | (rest & -rest)) == own_of[band]
+        if part is not None:
+            first = np.argmax((x[:, None] & part_masks[:, band].T) == 0, axis=1)
+            ok &= first == part
+        return ok
+
+    def compare(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        h = cols[-1]
+        n = len(h)
+        new = np.zeros(n, dtype=bool)
+        for c in cols[:-1]:
+            new[1:] |= c[1:] != c[:-1]
+        ends = np.append(np.nonzero(new)[0], n) - 1
+        last = ends[np.cumsum(new)]
+        at, step, found = np.nonzero(last > np.arange(n))[0], 1, []
+        while len(at):
+            x = h[at] ^ h[at + step]
+            live = at
+            for mask, most in rounds:
+                keep = ones(x & mask) <= most
+                x, live = x[keep], live[keep]
+            keep = ones(x) <= max_distance
+            x, live = x[keep], live[keep]
+            keep = owned(x, cols[0][live], cols[2][live] if part_masks is not None else None) & (x != 0)
+            live = live[keep]
+            found.append(np.stack([np.minimum(h[live], h[live + step]), np.maximum(h[live], h[live + step])]))
+            step += 1
+            at = at[at + step <= last[at]]
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["ha", "hb"])
+
+    def scan(batches):
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not b.num_rows:
+                continue
+            changes = np.zeros(b.num_rows, dtype=bool)
+            for c in cols[:-1]:
+                changes[1:] |= c[1:] != c[:-1]
+            if held and any(x[0] != y[-1] for x, y in zip(cols[:-1], held[-1][:-1])):
+                changes[0] = True
+            cuts = np.nonzero(changes)[0]
+            if len(cuts):
+                cut = cuts[-1]
+                held.append([c[:cut] for c in cols])
+                yield compare([np.concatenate(x) for x in zip(*held)])
+                held = []
+                cols = [c[cut:] for c in cols]
+            held.append(cols)
+        if held:
+            yield compare([np.concatenate(x) for x in zip(*held)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "h").mapInArrow(scan, "ha bigint, hb bigint")
 
 
 def close_hashes(hashes: DataFrame, max_distance: int = 6, tolerance: float = 1e-12, band_limit: int = BAND_LIMIT, seed: int = 11) -> DataFrame:
@@ -85,41 +156,24 @@ def close_hashes(hashes: DataFrame, max_distance: int = 6, tolerance: float = 1e
         raise ValueError("max_distance must be in 0..20")
     order = _order(seed)
     blocks = _split(order, max_distance + 2)
-    pairs = list(combinations(range(len(blocks)), 2))
-    masks = [mask_of(blocks[i] + blocks[j]) for i, j in pairs]
-    distinct = hashes.where("h is not null").select("h").distinct()
-    bands = distinct.select("h", F.explode(F.array(*[F.struct(F.lit(n).cast("tinyint").alias("band"), F.col("h").bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(masks)])).alias("b")).select("b.band", "b.bits", "h")
-    hot = stage(bands.groupBy("band", "bits").count().where(F.col("count") > band_limit).select("band", "bits"), "hot-bands")
-
-    x = F.col("ha").bitwiseXOR(F.col("hb"))
-    # bit t of ``agree`` says that block t doesn't differ; a pair belongs to its two lowest set bits
-    agree = sum((F.when(x.bitwiseAND(F.lit(mask_of(b))) == 0, F.lit(1 << t)).otherwise(F.lit(0)) for t, b in enumerate(blocks)), F.lit(0))
-    low = agree.bitwiseAND(-agree)
-    rest = agree.bitwiseXOR(low)
-    own = low.bitwiseOR(rest.bitwiseAND(-rest)) == _pick(F.col("band"), [(1 << i) | (1 << j) for i, j in pairs])
-    cond = (F.col("ha") < F.col("hb")) & _accept(x, max_distance, tolerance, order) & own
-
-    def joined(rows: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-        a, b = rows.withColumnRenamed("h", "ha"), rows.withColumnsRenamed({k: f"{k}_b" for k in keys} | {"h": "hb"})
-        on = cond
-        for c in (*extra, *[F.col(k) == F.col(f"{k}_b") for k in keys]):
-            on = on & c
-        return a.join(b, on).select("ha", "hb")
-
-    # The other blocks of a hot band, in max_distance + 1 parts: close hashes agree on at least one of them.
-    parts = [[_split([p for t, b in enumerate(blocks) if t not in (i, j) for p in b], max_distance + 1)[s] for i, j in pairs] for s in range(max_distance + 1)]
-    part_masks = [[mask_of(p) for p in row] for row in parts]
-    agreeing = [x.bitwiseAND(_pick(F.col("band"), row)) == 0 for row in part_masks]
-    first_part = F.col("part") == F.coalesce(*[F.when(c, F.lit(s)) for s, c in enumerate(agreeing)])
+    bands = list(combinations(range(len(blocks)), 2))
+    masks = [mask_of(blocks[i] + blocks[j]) for i, j in bands]
+    # the bits that a band doesn't cover, in max_distance + 1 parts: close hashes agree on at least one of them
+    parts = [[mask_of(_split([p for t, b in enumerate(blocks) if t not in (i, j) for p in b], max_distance + 1)[s]) for i, j in bands] for s in range(max_distance + 1)]
 
+    def variants(masks: list[Column], name: str, bits: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(n).alias(name), F.col("h").bitwiseAND(m).alias(bits)) for n, m in enumerate(masks)])).alias("_v")
+
+    distinct = hashes.where("h is not null").select("h").distinct()
+    rows = distinct.select("h", variants([F.lit(m) for m in masks], "band", "bits")).select("_v.band", "_v.bits", "h")
+    hot = stage(rows.groupBy("band", "bits").count().where(F.col("count") > band_limit).select("band", "bits"), "hot-bands")
+    how = (max_distance, tolerance, order)
     if hot.isEmpty():
-        return joined(bands, ["band", "bits"])
+        return _band_pairs(rows, ["band", "bits"], blocks, None, *how)
     marked = broadcast_if_small(hot)
-    cold = bands.join(marked, ["band", "bits"], "left_anti")
-    split = bands.join(marked, ["band", "bits"], "left_semi").select(
-        "band", "bits", "h", F.explode(F.array(*[F.struct(F.lit(s).alias("part"), F.col("h").bitwiseAND(_pick(F.col("band"), row)).alias("part_bits")) for s, row in enumerate(part_masks)])).alias("p")
-    ).select("band", "bits", "p.part", "p.part_bits", "h")
-    return joined(cold, ["band", "bits"]).unionByName(joined(split, ["band", "bits", "part", "part_bits"], first_part))
+    cold = _band_pairs(rows.join(marked, ["band", "bits"], "left_anti"), ["band", "bits"], blocks, None, *how)
+    split = rows.join(marked, ["band", "bits"], "left_semi").select("band", "bits", "h", variants([_pick(F.col("band"), row) for row in parts], "part", "part_bits")).select("band", "bits", "_v.*", "h")
+    return cold.unionByName(_band_pairs(split, ["band", "bits", "part", "part_bits"], blocks, parts, *how))
 
 
 def close_records(records: DataFrame, max_distance: int = 6, **how) -> DataFrame:
