@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from framelake.functions.identifiers import hex64, whole_number
 from framelake.llm.cutoffs import keep_cutoffs, kept_items
 from framelake.llm.hamming_pairs import close_groups, close_records
+from framelake.llm.mixing import mix
+from framelake.llm.packing import fills, pack
+from framelake.llm.quantiles import BOUND, percentiles, sketch
+from framelake.llm.spans import shared_characters, shared_stretches, sharing_clusters, sharing_pairs
+from framelake.llm.tokens import token_counts
 from framelake.llm.topn import top_n
+from framelake.physical import broadcast_if_small
 from framelake.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +61,40 @@ def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return keep_cutoffs(items, goals).withColumnRenamed("grp", "year")
 
 
+# Problem 3: percentiles of very large numeric columns
+
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """``year``, ``metric``, ``v``: the usable measurements, one row per image and metric; images without a year don't count."""
+    years = _read(spark, d, "images").select("image_id", whole_number(F.col("year")).alias("year")).where("year > 0").groupBy("image_id").agg(F.min("year").alias("year"))
+    ok = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf")), F.col(c))
+    metrics = ("sharp_top3", "luma")
+    one = _read(spark, d, "technical").groupBy("image_id").agg(*[F.max(ok(c)).alias(c) for c in metrics])
+    return one.join(years, "image_id").select("year", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in metrics])).alias("m")).select("year", "m.*").where("v is not null")
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["year", "metric"]
+    return percentiles(sketch(_measures(spark, d), keys, "v"), keys, list(SHARES))
+
+
+def p3_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return sketch(_measures(spark, d), ["year", "metric"], "v")
+
+
+def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile's true rank lies within the bound, counted over all values."""
+    keys = ["year", "metric"]
+    values = stage(_measures(spark, d), "measures")
+    got = stage(percentiles(sketch(values, keys, "v"), keys, list(SHARES)), "percentiles")
+    ranks = values.join(broadcast_if_small(got), keys).groupBy(*keys, "share", "n").agg(F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("share") * F.col("n") - 1e-9))
+    slack = BOUND * F.least(rank, F.col("n") - rank + 1)
+    return ranks.select(*keys, "share", "n", ((F.col("below") + 1 <= rank + slack) & (F.col("upto") >= rank - slack)).alias("within"))
+
+
 # Problem 6: top N items within every group
 
 
@@ -70,13 +110,83 @@ def p6_top3(spark: SparkSession, d: str) -> DataFrame:
     return top_n(_burst_scores(spark, d), 3).select(F.col("grp").alias("burst"), F.col("id").alias("image_id"), "score", "rank")
 
 
+# Problem 7: filling fixed-capacity containers
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"), "text")
+    return stage(token_counts(docs), "sizes")
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pack_sizes").select(F.col("pack_name").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+
+
+_PACKED = {"kind": "pack_name", "id": "doc_id"}
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sized(spark, d), _kinds(spark, d)).withColumnsRenamed(_PACKED)
+
+
+def p7_fills(spark: SparkSession, d: str) -> DataFrame:
+    kinds = _kinds(spark, d)
+    return fills(pack(_sized(spark, d), kinds), kinds).withColumnsRenamed(_PACKED)
+
+
+# Problem 8: mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = _read(spark, d, "mix_targets").select(F.col("mix_name").alias("mix"), F.lower(F.trim("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+    return mix(_sized(spark, d), targets)
+
+
+def p8_order(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].withColumnsRenamed({"mix": "mix_name", "id": "doc_id"})
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1].withColumnsRenamed({"mix": "mix_name"})
+
+
+# Problem 9: long exact spans shared between records
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharing_pairs(shared_stretches(_texts(spark, d))).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    docs = _texts(spark, d)
+    return shared_characters(docs, shared_stretches(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p9_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return sharing_clusters(shared_stretches(_texts(spark, d))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
+    "p3_percentiles": p3_percentiles,
+    "p3_sketches": p3_sketches,
+    "p3_rank_errors": p3_rank_errors,
     "p6_found": p6_found,
     "p6_top3": p6_top3,
+    "p7_containers": p7_containers,
+    "p7_fills": p7_fills,
+    "p8_order": p8_order,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_shared": p9_shared,
+    "p9_clusters": p9_clusters,
 }
 
 _SQL_SPACE = r"[\s\p{Z}]"
@@ -102,6 +212,12 @@ ORACLE_SQL: dict[str, str] = {
     "p1_found": _SQL_P1,
     "p2_found": _SQL_P2 + "select r.yr as year, r.image_id from r join c using (yr) where r.score >= c.cutoff",
     "p2_cutoffs": _SQL_P2 + "select c.yr as year, c.n, c.need::bigint as need, c.cutoff, count(*) as kept from c join r using (yr) where r.score >= c.cutoff group by all",
+    "p3_rank_errors": rf"""
+with y as (select distinct image_id, {_SQL_YEAR} as year from images),
+t as (select distinct image_id, sharp_top3, luma from technical),
+m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
+u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
+select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)""",
     "p6_found": _SQL_P6 + "select burst, image_id from r where rank <= 3 and n >= 5",
     "p6_top3": _SQL_P6 + "select burst, image_id, score, rank::int as rank from r where rank <= 3",
 }
