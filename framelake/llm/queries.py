@@ -158,7 +158,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sharing_pairs(shared_stretches(_texts(spark, d))).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+    return sharing_pairs(shared_stretches(_texts(spark, d), places=False)).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return sharing_clusters(shared_stretches(_texts(spark, d))).withColumnRenamed("id", "doc_id")
+    return sharing_clusters(shared_stretches(_texts(spark, d), places=False)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Query] = {
@@ -208,6 +208,12 @@ with s as (select distinct burst, image_id, score from selection where burst is
 r as (select *, row_number() over (partition by burst order by score desc, image_id) rank, count(*) over (partition by burst) n from s)
 """
 
+_SQL_P9 = """
+with g as (select doc_id, text, unnest(range(1, length(text) - 198)) k from documents where length(text) >= 200),
+h as (select doc_id, k, md5(substr(text, k, 200)) s from g), m as (select s, min(doc_id) lo, max(doc_id) hi from h group by 1 having min(doc_id) != max(doc_id)),
+f as (select doc_id, k, s from h join m using (s))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _SQL_P1,
     "p2_found": _SQL_P2 + "select r.yr as year, r.image_id from r join c using (yr) where r.score >= c.cutoff",
@@ -218,6 +224,10 @@ t as (select distinct image_id, sharp_top3, luma from technical),
 m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
 u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
 select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)""",
+    "p9_found": _SQL_P9 + "select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from (select distinct s, doc_id from f) a join (select distinct s, doc_id from f) b on a.s = b.s and a.doc_id < b.doc_id",
+    "p9_shared": _SQL_P9
+    + """, n as (select doc_id, least(200, coalesce(lead(k) over (partition by doc_id order by k) - k, 200)) c from (select distinct doc_id, k from f)), c as (select doc_id, sum(c)::bigint c from n group by 1)
+select doc_id, coalesce(length(text), 0) as chars, coalesce(c, 0) as shared_chars, case when length(text) > 0 then coalesce(c, 0) / length(text) else 0.0 end as share from documents left join c using (doc_id)""",
     "p6_found": _SQL_P6 + "select burst, image_id from r where rank <= 3 and n >= 5",
     "p6_top3": _SQL_P6 + "select burst, image_id, score, rank::int as rank from r where rank <= 3",
 }
