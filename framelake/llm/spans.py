@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from framelake.staging import stage
 
 SPAN = 200
-SHINGLE = 150
+#: Share of the span that a shingle takes: shorter ones make fewer anchors, longer ones collide less by chance.
+SHINGLE_SHARE = 0.6
 #: Characters hashed at once; bounds a worker's memory. A longer text is a batch of its own.
 BATCH_CHARS = 1_000_000
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
@@ -126,14 +127,16 @@ def stretches(texts: list[str], at: list[np.ndarray], span: int, shingle: int) -
     return doc, start - begins[doc], h.view(np.int64)
 
 
-def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
+def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None, places: bool = True) -> DataFrame:
     """``h``, ``id``, ``at``: every stretch of ``span`` characters that occurs in more than one document; staged.
 
+    Without ``places`` there is no ``at``, for callers that only ask who shares.
+
     ``docs``: ``id``, ``text``; further columns are ignored.  Rows with a null
     id or text and texts shorter than ``span`` have none; texts are compared
     code point by code point, whole; rows with the same id are one document.
     """
-    shingle = shingle or max(1, span * 3 // 4)
+    shingle = shingle or max(1, round(span * SHINGLE_SHARE))
     texts = docs.where(F.col("id").isNotNull() & (F.char_length("text") >= span)).select("id", "text")
     kind = docs.schema["id"].dataType.simpleString()
     out = f"h bigint, id {kind}, at int"
@@ -158,7 +161,8 @@ def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = No
         return rows.withColumns({"_lo": F.min("id").over(w), "_hi": F.max("id").over(w)}).where("_lo < _hi").drop("_lo", "_hi")
 
     colliding = shared(texts.mapInArrow(find, out)).groupBy("id").agg(F.collect_list("at").alias("spots"))
-    return stage(shared(texts.join(colliding, "id").select("id", "text", "spots").mapInArrow(verify, out)), "stretches")
+    verified = texts.join(colliding, "id").select("id", "text", "spots").mapInArrow(verify, out)
+    return stage(shared(verified if places else verified.drop("at")), "stretches")
 
 
 def _sharers(found: DataFrame) -> DataFrame:
