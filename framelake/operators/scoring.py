@@ -29,9 +29,9 @@ def blend(rows: DataFrame, weights: Mapping[str, float], name: str = "score") ->
 
 def _rank_sums(rows: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Positives, negatives and the sum of average ranks of positives per key, from counts of each different score."""
-    each = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("p"), F.count("*").alias("c"))
-    run = F.sum("c").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    return each.withColumn("r", run - F.col("c") + (F.col("c") + 1) / 2).groupBy(*keys).agg(F.sum("p").alias("pos"), (F.sum("c") - F.sum("p")).alias("neg"), F.sum(F.col("p") * F.col("r")).alias("ranks"))
+    each = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("_p"), F.count("*").alias("_c"))
+    run = F.sum("_c").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("_r", run - F.col("_c") + (F.col("_c") + 1) / 2).groupBy(*keys).agg(F.sum("_p").alias("pos"), (F.sum("_c") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_ranks"))
 
 
 def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,16 +41,16 @@ def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> Da
     runs over different scores only.
     """
     s = _rank_sums(rows, keys, score, label).where("pos > 0 and neg > 0")
-    return s.select(*keys, "pos", "neg", ((F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
+    return s.select(*keys, "pos", "neg", ((F.col("_ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
 def percentile_ladder(rows: DataFrame, value: str, percents: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """The value at 0-based index floor(n * p / 100) of the ascending order, per percent."""
-    each = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    each = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     by = Window.partitionBy(*keys)
-    run = each.withColumn("n", F.sum("c").over(by)).withColumn("upto", F.sum("c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    asked = run.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("_i", F.least(F.expr("n * percent div 100"), F.col("n") - 1))
-    return asked.where("upto > _i and upto - c <= _i").select(*keys, "percent", value)
+    run = each.withColumn("_n", F.sum("_c").over(by)).withColumn("_upto", F.sum("_c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    asked = run.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("_i", F.least(F.expr("_n * percent div 100"), F.col("_n") - 1))
+    return asked.where("_upto > _i and _upto - _c <= _i").select(*keys, "percent", value)
 
 
 def linear_percentiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

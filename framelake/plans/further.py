@@ -306,7 +306,7 @@ select user_id, round(a, 3) as start, round(b, 3) as "end", n as events from r""
 
 @query(_STREAM_SESSIONS)
 def stream_sessions(spark, d):
-    """Sessions by the stateful stream; one closing row per user, far ahead and left out again, lets the watermark pass all of them."""
+    """Sessions closed by the stateful stream, and those that its last watermark leaves open, closed in batch."""
     s = _event_stream(spark, d).select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
     out = _sink(spark, "sessions")
     q = inc.session_stream(s, "user_id", "ts", 3600, "0 seconds")

@@ -83,5 +83,5 @@ def vector_shards(shards: DataFrame, normalise: bool = True) -> DataFrame:
 
 def merged_sidecars(records: DataFrame, key: str, values: str, order: str) -> DataFrame:
     """Maps of one key merged, entry by entry; later records override."""
-    e = records.select(key, order, F.explode(values).alias("k", "v")).groupBy(key, "k").agg(F.max_by("v", order).alias("v"))
-    return e.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(values))
+    e = records.select(key, order, F.explode(values).alias("_k", "_v")).groupBy(key, "_k").agg(F.max_by("_v", order).alias("_v"))
+    return e.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(values))

@@ -19,7 +19,7 @@ def _fs(spark: SparkSession, path: str):
 def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """CSV with a header in a fixed column order; an empty result still has a header (Spark writes it for one empty part)."""
     rows = df.select(*order)
-    (rows.coalesce(1) if rows.isEmpty() else rows).write.mode("overwrite").csv(path, header=True)
+    (rows.coalesce(1) if rows.isEmpty() else rows).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
