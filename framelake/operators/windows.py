@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.vectors import bit_distance
-from framelake.physical import global_position, range_sorted
+from framelake.physical import global_position, part_offsets, range_sorted
 
 
 def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: float, bits: str | None = None, most_bits: int = 20) -> DataFrame:
@@ -34,6 +34,35 @@ def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: floa
     return numbered.unionByName(rows.where(F.col(time).isNull()).withColumn("burst", F.lit(None).cast("bigint")))
 
 
+def bursts_ranged(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: float, bits: str | None = None, most_bits: int = 20) -> DataFrame:
+    """As ``bursts``, for scopes that may hold any share of the rows.
+
+    Rows are range-sorted by (scope, time, tie) and staged, so a large scope
+    spans many parts; each part gets the last row of the parts before it, and
+    burst numbers are the part's own counts plus those of earlier parts.
+    """
+    timed = rows.where(F.col(time).isNotNull())
+    data = range_sorted(timed, [*map(F.col, scope), F.col(time), F.col(tie)], "bursts")
+    own = [*scope, time, *([bits] if bits else [])]
+    ends = data.groupBy("_part").agg(F.max_by(F.struct(*own), "_row").alias("_end"))
+    order = Window.orderBy("_part")  # one row per part
+    ends = ends.select("_part", F.lag("_end").over(order).alias("_end"))
+    w = Window.partitionBy("_part").orderBy("_row")
+    j = data.join(F.broadcast(ends), "_part").withColumn("_prev", F.coalesce(F.lag(F.struct(*own)).over(w), F.col("_end")))
+    same = F.lit(True)
+    for k in scope:
+        same = same & F.col(k).eqNullSafe(F.col(f"_prev.{k}"))
+    new = F.col(time) - F.col(f"_prev.{time}") > gap
+    if bits:
+        new = new | F.coalesce(bit_distance(F.col(bits), F.col(f"_prev.{bits}")) > most_bits, F.lit(False))
+    j = j.withColumn("_new", F.when(F.col("_prev").isNull() | ~same, 1).otherwise(new.cast("int")))
+    j = j.withColumn("_no", F.sum("_new").over(Window.partitionBy("_part", *scope).orderBy("_row")))
+    starts = part_offsets(j, list(scope), F.col("_new")).withColumnsRenamed({k: f"_s{i}" for i, k in enumerate(["_part", *scope])})
+    on = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(["_part", *scope])]
+    numbered = j.join(starts, on).withColumn("burst", (F.col("_no") + F.col("_before")).cast("bigint")).select(*rows.columns, "burst")
+    return numbered.unionByName(rows.where(F.col(time).isNull()).withColumn("burst", F.lit(None).cast("bigint")))
+
+
 def group_size(rows: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
     """Rows per key beside each row; null keys are one group (counted by aggregation and joined null-safely)."""
     n = rows.groupBy(*keys).agg(F.count("*").alias(name)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)

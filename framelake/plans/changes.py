@@ -67,10 +67,18 @@ def additions(desired: DataFrame, current: DataFrame, key: str, member: str) ->
 
 
 def hierarchy(paths: DataFrame, path: str, sep: str = "/") -> DataFrame:
-    """Every ancestor of every path: ``node``, ``parent``, ``depth``, ``is_leaf`` (some path ends there), ``below`` (paths at or under it)."""
-    one = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("_p"))
-    up = one.select("_p", F.posexplode(prefixes(F.col("_p"), sep)).alias("_i", "node"), F.size(prefixes(F.col("_p"), sep)).alias("_n"))
-    flat = up.groupBy("node").agg((F.min("_i") + 1).alias("depth"), F.max((F.col("_i") + 1 == F.col("_n"))).alias("is_leaf"), F.count("*").alias("below"))
+    """Every ancestor of every path: ``node``, ``parent``, ``depth``, ``is_leaf`` (some path ends there), ``below`` (paths at or under it).
+
+    Paths are counted by parent first, so only different parents are expanded.
+    """
+    parts = F.filter(F.split(path, "\\Q" + sep + "\\E"), lambda s: s != "")
+    lead = F.when(F.col(path).startswith(sep), F.lit(sep)).otherwise(F.lit(""))
+    one = paths.select(parts.alias("_a"), lead.alias("_l")).where(F.size("_a") > 0)
+    leaf = one.select(F.concat("_l", F.array_join("_a", sep)).alias("node"), F.when(F.size("_a") > 1, F.concat("_l", F.array_join(F.slice("_a", F.lit(1), F.size("_a") - 1), sep))).alias("_up"), F.size("_a").alias("depth"))
+    ends = leaf.groupBy("node", "depth").agg(F.count("*").alias("below"), F.lit(True).alias("is_leaf"))
+    ups = leaf.where("_up is not null").groupBy("_up").agg(F.count("*").alias("_n")).select("_n", F.posexplode(prefixes(F.col("_up"), sep)).alias("_i", "node"))
+    above = ups.groupBy("node").agg((F.min("_i") + 1).alias("depth"), F.sum("_n").alias("below"), F.lit(False).alias("is_leaf"))
+    flat = ends.unionByName(above).groupBy("node").agg(F.min("depth").alias("depth"), F.bool_or("is_leaf").alias("is_leaf"), F.sum("below").alias("below"))
     parent = F.when(F.col("depth") > 1, F.regexp_replace("node", f"\\Q{sep}\\E[^{sep}]*$", ""))
     return flat.select("node", parent.alias("parent"), "depth", "is_leaf", "below")
 

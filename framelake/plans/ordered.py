@@ -52,7 +52,7 @@ select image_id, camera, sum(case when t - lt <= 3 and coalesce(bit_count(xor(h,
 def burst_similarity(spark, d):
     i = read(spark, d, "images").select("image_id", squeezed(F.col("camera")).alias("camera"), local_seconds(F.col("capture_time")).alias("t")).where("camera is not null and t is not null").distinct()
     h = read(spark, d, "technical").select("image_id", hex64(F.col("phash")).alias("h")).groupBy("image_id").agg(F.min("h").alias("h"))
-    return wn.bursts(i.join(h, "image_id", "left"), ["camera"], "t", "image_id", 3, bits="h").select("image_id", "camera", "burst")
+    return wn.bursts_ranged(i.join(h, "image_id", "left"), ["camera"], "t", "image_id", 3, bits="h").select("image_id", "camera", "burst")
 
 
 _Z = "round((value - (select avg(value) from events)) / (select stddev_pop(value) from events), 6)"

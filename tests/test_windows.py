@@ -32,6 +32,14 @@ def test_null_time_has_no_burst(spark):
     assert wn.bursts(df.limit(0), ["k"], "t", "id", 3).count() == 0
 
 
+def test_ranged_bursts_equal_the_window(spark):
+    rows = [(i, "hot" if i % 3 else "ab"[i % 2], (i * 7919) % 900, (i * 2654435761) % 2**40) for i in range(2000)] + [(9000, None, 5, 1), (9001, "hot", None, 1), (9002, None, 6, None)]
+    df = spark.createDataFrame(rows, "id bigint, k string, t bigint, h bigint").repartition(6)
+    for bits in (None, "h"):
+        a = {(r["id"], r["burst"]) for r in wn.bursts(df, ["k"], "t", "id", 0, bits=bits, most_bits=18).collect()}
+        assert a == {(r["id"], r["burst"]) for r in wn.bursts_ranged(df, ["k"], "t", "id", 0, bits=bits, most_bits=18).collect()}
+
+
 def test_null_keys_are_one_group(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 7)], "id int, k int")
     assert {r["id"]: r["group_size"] for r in wn.group_size(df, ["k"]).collect()} == {1: 2, 2: 2, 3: 1}
