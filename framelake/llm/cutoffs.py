@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.physical import broadcast_if_small
+from framelake.physical import BROADCAST_ROWS, broadcast_if_small
 from framelake.staging import stage, unstage
 
 
-def keep_cutoffs(scores: DataFrame, targets: DataFrame, snap: int = 64, max_rounds: int = 400) -> DataFrame:
+def keep_cutoffs(scores: DataFrame, targets: DataFrame, snap: int = 512, max_rounds: int = 400) -> DataFrame:
     """``grp``, ``n``, ``need``, ``cutoff``, ``kept`` of every group of ``targets`` that has scores.
 
     ``scores``: ``grp``, ``score`` double (one row per item); ``targets``:
@@ -58,18 +58,23 @@ def keep_cutoffs(scores: DataFrame, targets: DataFrame, snap: int = 64, max_roun
         F.lit(0).alias("step"),
     )
     state = stage(state, "brackets")
+    small = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # one row per group, in every round
     for _ in range(max_rounds):
         if state.where((F.col("case") == "open") & (F.col("left") > snap)).isEmpty():
             break
-        after = stage(_step(values, state, snap), "brackets")
+        after = stage(_step(values, state, snap, small), "brackets")
         unstage(state)
         state = after
     else:
         raise RuntimeError(f"brackets still open after {max_rounds} rounds")
-    return _snap(values, state)
+    return _snap(values, state, small)
 
 
-def _step(values: DataFrame, state: DataFrame, snap: int) -> DataFrame:
+def _side(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows
+
+
+def _step(values: DataFrame, state: DataFrame, snap: int, small: bool) -> DataFrame:
     """One evaluation of loss and subgradient per open group; returns the narrowed brackets."""
     cut = F.try_divide(F.col("f_r") - F.col("f_l") + F.col("g_l") * F.col("t_l") - F.col("g_r") * F.col("t_r"), F.col("g_l") - F.col("g_r"))
     mid = F.col("lo") / 2 + F.col("hi") / 2
@@ -77,7 +82,7 @@ def _step(values: DataFrame, state: DataFrame, snap: int) -> DataFrame:
     t = F.when((F.col("step") % 3 != 2) & inside(cut), cut).when(inside(mid), mid).otherwise(F.col("hi"))
     busy = (F.col("case") == "open") & (F.col("left") > snap)
     asked = state.where(busy).withColumn("t", t)
-    at = broadcast_if_small(asked.select("grp", "lo", "hi", "t"))
+    at = _side(asked.select("grp", "lo", "hi", "t"), small)
     rows = values.join(at, "grp").where((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")))
     ge = F.col("score") >= F.col("t")
     c, s = F.col("c"), F.col("c") * F.col("score")
@@ -107,16 +112,16 @@ def _step(values: DataFrame, state: DataFrame, snap: int) -> DataFrame:
     return moved.unionByName(state.where(~busy))
 
 
-def _snap(values: DataFrame, state: DataFrame) -> DataFrame:
+def _snap(values: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """The exact neighbouring score: at most ``snap`` different scores of a group are looked at."""
-    inside = values.join(broadcast_if_small(state.where("case = 'open'").select("grp", "lo", "hi", "above", "k")), "grp").where("score >= lo and score <= hi")
+    inside = values.join(_side(state.where("case = 'open'").select("grp", "lo", "hi", "above", "k"), small), "grp").where("score >= lo and score <= hi")
     w = Window.partitionBy("grp").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     exact = inside.withColumn("reach", F.col("above") + F.sum("c").over(w)).where("reach >= k").groupBy("grp").agg(F.max("score").alias("exact"))
     inf = float("inf")
     out = state.select("grp", "n", "need", "case").join(exact, "grp", "left").select(
         "grp", "n", "need", F.when(F.col("case") == "open", F.col("exact")).when(F.col("case") == "top", F.lit(inf)).when(F.col("case") == "bottom", F.lit(-inf)).alias("cutoff")
     )
-    kept = values.join(broadcast_if_small(out.select("grp", "cutoff")), "grp").where("score >= cutoff").groupBy("grp").agg(F.sum("c").alias("kept"))
+    kept = values.join(_side(out.select("grp", "cutoff"), small), "grp").where("score >= cutoff").groupBy("grp").agg(F.sum("c").alias("kept"))
     return out.join(kept, "grp", "left").select("grp", "n", "need", "cutoff", F.coalesce("kept", F.lit(0).cast("bigint")).alias("kept"))
 
 
