@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.staging import stage
 
@@ -60,3 +63,24 @@ def fit_preference(rows: DataFrame, c: float = 0.5, folds: int = 5, least_positi
         s = _scored(_fit(rest, c), part)
         out = s if out is None else out.unionByName(s)
     return Preference(_fit(train, c), out)
+
+
+def mlp(layers: list[tuple]) -> object:
+    """A pandas UDF for a stack of linear layers ((weights, biases), ...) on a vector, without activations between, as regression heads have at inference.
+
+    The weights are given, not trained here; the first output is the score.
+    """
+    stack = [(np.asarray(w, dtype=float), np.asarray(b, dtype=float)) for w, b in layers]
+
+    @F.pandas_udf(T.DoubleType())
+    def score(v: pd.Series) -> pd.Series:
+        ok = v.notna()
+        out = pd.Series(np.nan, index=v.index)
+        if ok.any():
+            x = np.stack(v[ok].to_numpy()).astype(float)
+            for w, b in stack:
+                x = x @ w.T + b
+            out[ok] = x[:, 0]
+        return out
+
+    return score

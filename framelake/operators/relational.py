@@ -177,3 +177,27 @@ def rejects(corrections: DataFrame, allowed: Sequence[str]) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("id", "field"))
     why = F.when(~F.coalesce(F.col("field").isin(*allowed), F.lit(False)), "field").when(F.col("reason").isNull() | (F.trim("reason") == ""), "reason").when(F.col("_n") > 1, "repeated")
     return corrections.withColumn("_n", n).withColumn("why", why).drop("_n").where("why is not null")
+
+
+def first_where(rows: DataFrame, keys: Sequence[str], good: Column, place: str) -> DataFrame:
+    """Each key's first row (by ``place``) for which ``good`` holds, else its first row."""
+    w = Window.partitionBy(*keys).orderBy((~F.coalesce(good, F.lit(False))).cast("int"), place)
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def override(rows: DataFrame, final: DataFrame, key: str, column: str, inside: str, outside: str, sticky: Sequence[str] = ()) -> DataFrame:
+    """``column`` set by membership of ``key`` in ``final``; rows whose value is in ``sticky`` keep it."""
+    f = final.select(key).distinct().withColumn("_in", F.lit(True))
+    value = F.when(F.col(column).isin(*sticky), F.col(column)).when(F.col("_in"), inside).otherwise(outside)
+    return rows.join(f, key, "left").withColumn(column, value).drop("_in")
+
+
+def normalised(rows: DataFrame, texts: Sequence[str] = (), ranges: dict[str, tuple[int, int]] | None = None, choices: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Trim texts (blank: null), drop whole numbers out of range and unknown choices (in lower case), and say so in ``warnings`` (array of field names)."""
+    ranges, choices = ranges or {}, choices or {}
+    new = {c: F.nullif(F.trim(c), F.lit("")) for c in texts}
+    new |= {c: F.when(F.floor(c).between(*b), F.floor(c)) for c, b in ranges.items()}
+    new |= {c: F.when(F.lower(F.trim(c)).isin(*v), F.lower(F.trim(c))) for c, v in choices.items()}
+    lost = [F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "") & new[c].isNull(), F.lit(c)) for c in (*ranges, *choices)]
+    warnings = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
+    return rows.withColumns(new | {"warnings": warnings})

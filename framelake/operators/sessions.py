@@ -102,7 +102,8 @@ def sessions(events: DataFrame, gap: int, counts: bool = True) -> DataFrame:
         raise ValueError("gap must be at least 1")
     usable = events.where("entity is not null and t is not null").withColumn("bucket", F.shiftright("t", BITS))
     bitmaps = usable.groupBy("entity", "bucket").agg(F.bitmap_construct_agg(F.col("t").bitwiseAND(SECONDS - 1)).alias("bits"))
-    runs = _bucket_runs(bitmaps, gap)
+    # bitmaps compress to next to nothing, so adaptive execution would leave them all to one task
+    runs = _bucket_runs(bitmaps.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))), gap)
     if counts:
         each = usable.groupBy("entity", "bucket", "t").agg(F.count_distinct("id").alias("n"))
         runs = stage(runs, "runs")

@@ -16,10 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.physical import broadcast_if_small
 from framelake.staging import stage
 
 #: Rows of a matrix block.
 BLOCK = 2048
+#: Blocks of queries that are broadcast at most; more are shuffled to the blocks of rows.
+BROADCAST_BLOCKS = 32
 
 
 def _blocks(rows: DataFrame, prefix: str, size: int = BLOCK) -> DataFrame:
@@ -49,7 +52,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, drop_self: bool = False)
     # every block of queries meets every block of rows: the query set's blocks are exploded onto the row blocks
     numbers = qb.agg(F.collect_list("q_b").alias("bs")).withColumn("_key", F.lit(1))
     pairs = rb.withColumn("_key", F.lit(1)).join(numbers, "_key").withColumn("q_b", F.explode("bs"))
-    partial = pairs.select("r", "q_b").join(qb, "q_b").select("q", "r").mapInPandas(multiply, "qid bigint, id bigint, sim double")
+    partial = pairs.select("r", "q_b").join(broadcast_if_small(qb, BROADCAST_BLOCKS), "q_b").select("q", "r").mapInPandas(multiply, "qid bigint, id bigint, sim double")
     if drop_self:
         partial = partial.where("qid != id")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "id")
@@ -123,3 +126,52 @@ def most_similar(rows: DataFrame, others: DataFrame, keys: Sequence[str], cond:
     a, b = rows.select(*keys, "id", "v"), others.select(*keys, F.col("id").alias("other"), F.col("v").alias("w"))
     j = a.join(b, list(keys)).where(cond if cond is not None else F.col("id") != F.col("other")).select("id", "other", F.round(dot(F.col("v"), F.col("w")), 9).alias("sim"))
     return j.groupBy("id").agg(F.max_by(F.struct("other", "sim"), F.struct("sim", -F.col("other"))).alias("s")).select("id", "s.other", "s.sim")
+
+
+def demote_near(rows: DataFrame, keys: Sequence[str], time: str, width: float, cutoff: float, score: str, guarded: str) -> DataFrame:
+    """``id``, ``by``: rows demoted because a near twin in time is better.
+
+    Within ``keys`` rows are taken by (time, id); each that is still standing is
+    compared with the standing ones at most ``width`` later whose similarity is
+    at least ``cutoff``: the lower score is demoted (the later one at equality),
+    and a row that loses is not compared further.  A row with ``guarded`` true
+    is never demoted.  Null times are left out; a window of rows is held.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def settle(held: list[dict]) -> list[tuple]:
+        """Compare the first held row with the others; they are all that lie within its window."""
+        a, out = held[0], []
+        for b in held[1:]:
+            if a["by"] is not None:
+                break
+            if b["by"] is None and float(np.dot(a["v"], b["v"])) >= cutoff:
+                loser, winner = (a, b) if b["s"] > a["s"] else (b, a)
+                if not loser["g"]:
+                    loser["by"] = winner["id"]
+                    out.append((loser["id"], winner["id"]))
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for key, i, t, s, g, v in zip(zip(*[batch[k] for k in keys]), batch["id"], batch[time], batch[score], batch[guarded], batch["v"]):
+                if key != now:
+                    while held:
+                        out += settle(held)
+                        held.pop(0)
+                    now = key
+                while held and t - held[0]["t"] > width:
+                    out += settle(held)
+                    held.pop(0)
+                held.append({"id": i, "t": t, "s": s, "g": bool(g), "v": np.asarray(v, dtype=float), "by": None})
+            yield pd.DataFrame(out, columns=["id", "by"])
+        out = []
+        while held:
+            out += settle(held)
+            held.pop(0)
+        yield pd.DataFrame(out, columns=["id", "by"])
+
+    ready = rows.where(F.col(time).isNotNull() & F.col("v").isNotNull() & F.col(score).isNotNull()).select(*keys, "id", time, score, F.coalesce(guarded, F.lit(False)).alias(guarded), "v")
+    return ready.repartition(*keys).sortWithinPartitions(*keys, time, "id").mapInPandas(run, f"id {kinds['id']}, by {kinds['id']}")

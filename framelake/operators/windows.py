@@ -151,3 +151,32 @@ def first_occurrence(rows: DataFrame, key: str, order: Sequence[Column]) -> Data
     """Each key's first row in the order."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
+    """One page (from 0) of a listing; the limit is the feature, so only the rows up to the page's end are ordered."""
+    return rows.orderBy(*order).offset(number * size).limit(size)
+
+
+def around_rank(rows: DataFrame, rank: str, wanted: int, size: int) -> DataFrame:
+    """``size`` ranks from ``wanted`` on, which is clamped to the ranks there are."""
+    top = rows.agg(F.max(rank).alias("_top")).withColumn("_key", F.lit(1))
+    at = F.greatest(F.lit(1), F.least(F.lit(wanted), F.col("_top")))
+    return rows.withColumn("_key", F.lit(1)).join(F.broadcast(top), "_key").where((F.col(rank) >= at) & (F.col(rank) < at + size)).drop("_key", "_top")
+
+
+def slots(rows: DataFrame, order: Sequence[Column], size: int = 9) -> DataFrame:
+    """Sheets of ``size`` rows: ``sheet`` from 0 and ``slot``, a letter from A."""
+    b = batches(rows, order, size, "sheet")
+    w = Window.partitionBy("sheet").orderBy(*order)
+    return b.withColumn("slot", F.char(F.lit(64) + F.row_number().over(w)))
+
+
+def most_common(rows: DataFrame, key: str, first: str, n: int) -> DataFrame:
+    """The ``n`` most frequent keys with their counts, ties by first sighting (least ``first``)."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(first).alias("_first")).orderBy(F.desc("n"), "_first").limit(n).drop("_first")
+
+
+def limited(rows: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """All rows with ``deferred``: whether they lie beyond the first ``most`` of the order."""
+    return ranked(rows, order, "_rank").withColumn("deferred", F.col("_rank") > most).drop("_rank")

@@ -373,3 +373,45 @@ def native_range_frame(spark, d):
 def native_approx_distinct(spark, d):
     g = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("a"))
     return g.select("l_returnflag", "parts", (F.abs(F.col("a") / F.col("parts") - 1) < 0.1).alias("close"))
+
+
+@query("""
+select distinct image_id, case when rating between 1 and 5 then floor(rating)::bigint end as rating, case when lower(trim(format)) in ('raw', 'dng', 'jpg') then lower(trim(format)) end as format, nullif(trim(lens), '') as lens,
+  concat_ws(',', case when rating is not null and not rating between 1 and 5 then 'rating' end, case when format is not null and lower(trim(format)) not in ('raw', 'dng', 'jpg') then 'format' end) as warnings from images""")
+def normalised_entries(spark, d):
+    from framelake.operators.relational import normalised
+
+    n = normalised(read(spark, d, "images"), ["lens"], {"rating": (1, 5)}, {"format": ["raw", "dng", "jpg"]})
+    return n.select("image_id", "rating", "format", "lens", F.array_join("warnings", ",").alias("warnings")).distinct()
+
+
+@query("""
+select image_id, case when tier = 'reject' then 'reject' when image_id in (select image_id from images where rating >= 4) then 'portfolio' else 'keep' end as verdict from (select distinct image_id, tier from selection)""")
+def verdict_override(spark, d):
+    from framelake.operators.relational import override
+
+    s = read(spark, d, "selection").select("image_id", F.col("tier").alias("verdict")).distinct()
+    return override(s, read(spark, d, "images").where("rating >= 4"), "image_id", "verdict", "portfolio", "keep", ["reject"])
+
+
+@query("""
+select distinct image_id, case orientation when 'BC' then 'clockwise' when 'CD' then 'half_turn' when 'DA' then 'counterclockwise' when 'BA' then 'mirror' when 'DC' then 'flip' when 'AD' then 'transpose' when 'CB' then 'transverse' else 'none' end as turn from images""")
+def orientation_turns(spark, d):
+    from framelake.functions.pixels import turn
+
+    return read(spark, d, "images").select("image_id", turn(F.col("orientation")).alias("turn")).distinct()
+
+
+@query("select c_custkey, c_name from customer where not coalesce(c_nationkey between 5 and 9, false) union all select s_suppkey + 900000000, s_name from supplier where s_nationkey between 5 and 9")
+def scoped_replacement(spark, d):
+    from framelake.sources.writers import replace_where
+
+    new = read(spark, d, "supplier").where("s_nationkey between 5 and 9").select((F.col("s_suppkey") + 900_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"))
+    return replace_where(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), new, F.col("c_nationkey").between(5, 9)).select("c_custkey", "c_name")
+
+
+@query()
+def near_demotions(spark, d):
+    """Sequential by definition; held against brute force in the tests."""
+    v = _vectors(spark, d).withColumns({"t": F.col("id"), "score": F.col("label").cast("double"), "star": F.col("label") == 9})
+    return similarity.demote_near(v.withColumn("g", F.expr("id div 50")), ["g"], "t", 20, 0.2, "score", "star")

@@ -298,3 +298,37 @@ def argmax_label(spark, d):
     t = read(spark, d, "technical").select("image_id", "clip_dark", "clip_bright", "contrast").distinct()
     best = greatest_label([(F.col("clip_bright"), "bright"), (F.col("clip_dark"), "dark"), (F.col("contrast") / 100, "flat")])
     return t.withColumn("g", best).groupBy("image_id").agg(F.max("g.value").alias("value"), F.max("g.label").alias("label"))
+
+
+@query("select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 240 offset 480")
+def listing_page(spark, d):
+    return wn.page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 240).select("o_orderkey")
+
+
+@query("with r as (select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) rank from customer) select c_custkey, rank from r where rank >= (select greatest(1, least(50, max(rank))) from r) and rank < (select greatest(1, least(50, max(rank))) from r) + 25")
+def jump_to_rank(spark, d):
+    r = wn.ranked(read(spark, d, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")])
+    return wn.around_rank(r, "rank", 50, 25).select("c_custkey", "rank")
+
+
+@query("with s as (select s_suppkey, row_number() over (order by s_acctbal desc, s_suppkey) - 1 pos from supplier) select s_suppkey, pos // 9 as sheet, chr((65 + pos % 9)::int) as slot from s")
+def contact_slots(spark, d):
+    return wn.slots(read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), F.col("s_suppkey")]).select("s_suppkey", "sheet", "slot")
+
+
+@query("select regexp_extract(path, '^/[^/]*/[^/]*') as folder, count(*) as n from images group by 1 order by n desc, min(image_id) limit 25")
+def common_folders(spark, d):
+    i = read(spark, d, "images").withColumn("folder", F.regexp_extract("path", "^/[^/]*/[^/]*", 0))
+    return wn.most_common(i, "folder", "image_id", 25)
+
+
+@query("with r as (select p_partkey, row_number() over (order by p_retailprice, p_partkey) r from part) select p_partkey, r > 150 as deferred from r")
+def deferred_work(spark, d):
+    return wn.limited(read(spark, d, "part").select("p_partkey", "p_retailprice"), [F.col("p_retailprice"), F.col("p_partkey")], 150).select("p_partkey", "deferred")
+
+
+@query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice <= 300000, o_orderkey) r from orders) where r = 1")
+def first_good_row(spark, d):
+    from framelake.operators.relational import first_where
+
+    return first_where(read(spark, d, "orders"), ["o_custkey"], F.col("o_totalprice") > 300000, "o_orderkey").select("o_custkey", "o_orderkey")

@@ -104,3 +104,8 @@ def gated(df: DataFrame, write_batch, size: int, tries: int = 3) -> DataFrame:
                 n += 1
 
     return df.mapInPandas(run, "batch bigint, rows bigint, tries bigint, error string")
+
+
+def replace_where(old: DataFrame, new: DataFrame, scope) -> DataFrame:
+    """``old`` without the rows in ``scope`` (a condition; null: not in it), and ``new``."""
+    return old.where(~F.coalesce(scope, F.lit(False))).unionByName(new, allowMissingColumns=True)

@@ -51,3 +51,10 @@ def unstage(*tables: DataFrame | None) -> None:
             sc = df.sparkSession.sparkContext
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that this application has staged; results not yet read are lost."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/framelake/{sc.applicationId}")
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
