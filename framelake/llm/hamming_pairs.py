@@ -41,10 +41,6 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def mask_of(positions: list[int]) -> int:
-    return signed(sum(1 << p for p in positions))
-
-
 def posterior(k: int, m: int, max_distance: int) -> float:
     """P(distance <= max_distance | m of k compared values differ), every distance 0..64 equally likely before."""
     like = [comb(d, m) * comb(BITS - d, k - m) for d in range(BITS + 1)]
@@ -56,47 +52,72 @@ def allowed(k: int, max_distance: int, tolerance: float) -> int:
     return max([m for m in range(k + 1) if posterior(k, m, max_distance) >= tolerance], default=-1)
 
 
-def _order(seed: int) -> list[int]:
-    p = list(range(BITS))
-    random.Random(seed).shuffle(p)
-    return p
-
-
-def _split(positions: list[int], n: int) -> list[list[int]]:
-    return [positions[i * len(positions) // n : (i + 1) * len(positions) // n] for i in range(n)]
-
-
-def _pick(index: Column, values: list[int]) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), (index + 1).cast("int"))
+class Layout:
+    """Where bits, blocks and bands are.
 
+    Hashes are handled with their bits permuted (distances stay the same), so
+    that successive MinHash values are successive bits and a block is a run of
+    bits.  A band is a pair of blocks; its key holds the band and both blocks.
+    """
 
-def _band_pairs(rows: DataFrame, keys: list[str], blocks: list[list[int]], parts: list[list[int]] | None, max_distance: int, tolerance: float, order: list[int]) -> DataFrame:
-    """Close pairs within the bands of ``rows`` (``keys``, ``h``), each emitted by its own band only.
+    def __init__(self, max_distance: int, seed: int):
+        self.order = list(range(BITS))
+        random.Random(seed).shuffle(self.order)
+        n = max_distance + 2
+        self.spans = [(i * BITS // n, (i + 1) * BITS // n) for i in range(n)]
+        self.width = max(b - a for a, b in self.spans)
+        self.bands = list(combinations(range(n), 2))
+        self.masks = [signed(sum(1 << p for p in range(a, b))) for a, b in self.spans]
+        # per band, the bits it doesn't cover in max_distance + 1 parts: close hashes agree on at least one
+        rest = [[p for t, (a, b) in enumerate(self.spans) if t not in band for p in range(a, b)] for band in self.bands]
+        cut = lambda r, s: r[s * len(r) // (max_distance + 1) : (s + 1) * len(r) // (max_distance + 1)]
+        self.parts = [[signed(sum(1 << p for p in cut(r, s))) for r in rest] for s in range(max_distance + 1)]
+
+    def permuted(self, h: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k, p in enumerate(self.order):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(h, p).bitwiseAND(F.lit(1).cast("bigint")), k))
+        return out
+
+    def restored(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for k, p in enumerate(self.order):
+            out |= ((x >> np.int64(k)) & np.int64(1)) << np.int64(p)
+        return out
+
+    def key(self, h: Column, n: int) -> Column:
+        i, j = (F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")) for a, b in (self.spans[t] for t in self.bands[n]))
+        return F.lit(n << 2 * self.width).cast("bigint").bitwiseOR(F.shiftleft(i, self.width)).bitwiseOR(j)
+
+
+def _band_pairs(rows: DataFrame, keys: list[str], layout: Layout, max_distance: int, tolerance: float) -> DataFrame:
+    """Close pairs within the bands of ``rows`` (``key``, perhaps ``part`` and ``bits``, ``h``), each emitted by its own band only.
 
     Rows are brought together by ``keys`` and sorted; a task then compares each
     row with the one 1, 2, 3, ... places further in its band, for all rows at
     once, and holds one band at a time.
     """
-    bands = list(combinations(range(len(blocks)), 2))
-    block_masks = [np.int64(mask_of(b)) for b in blocks]
-    part_masks = None if parts is None else np.array(parts, dtype=np.int64)
-    own_of = np.array([(1 << i) | (1 << j) for i, j in bands])
-    rounds = [(np.int64(mask_of(order[:k])), allowed(k, max_distance, tolerance)) for k in (16, 32, 48)]
+    split = "part" in keys
+    block_masks = [np.int64(m) for m in layout.masks]
+    part_masks = np.array(layout.parts, dtype=np.int64)
+    own_of = np.array([(1 << i) | (1 << j) for i, j in layout.bands])
+    rounds = [(np.int64((1 << k) - 1), allowed(k, max_distance, tolerance)) for k in (16, 32, 48)]
+    shift = np.int64(2 * layout.width)
 
     def ones(x: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would take the absolute value
 
     def owned(x: np.ndarray, band: np.ndarray, part: np.ndarray | None) -> np.ndarray:
+        # bit t of ``agree`` says that block t doesn't differ; a pair belongs to its two lowest set bits
         agree = sum(((x & m) == 0).astype(np.int64) << t for t, m in enumerate(block_masks))
         low = agree & -agree
         rest = agree ^ low
         ok = (low | (rest & -rest)) == own_of[band]
         if part is not None:
-            first = np.argmax((x[:, None] & part_masks[:, band].T) == 0, axis=1)
-            ok &= first == part
+            ok &= np.argmax((x[:, None] & part_masks[:, band].T) == 0, axis=1) == part
         return ok
 
-    def compare(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+    def compare(cols: list[np.ndarray]) -> pa.RecordBatch:
         h = cols[-1]
         n = len(h)
         new = np.zeros(n, dtype=bool)
@@ -111,15 +132,16 @@ def _band_pairs(rows: DataFrame, keys: list[str], blocks: list[list[int]], parts
             for mask, most in rounds:
                 keep = ones(x & mask) <= most
                 x, live = x[keep], live[keep]
-            keep = ones(x) <= max_distance
+            keep = (ones(x) <= max_distance) & (x != 0)
             x, live = x[keep], live[keep]
-            keep = owned(x, cols[0][live], cols[2][live] if part_masks is not None else None) & (x != 0)
+            keep = owned(x, cols[0][live] >> shift, cols[1][live] if split else None)
             live = live[keep]
-            found.append(np.stack([np.minimum(h[live], h[live + step]), np.maximum(h[live], h[live + step])]))
+            if len(live):
+                found.append(np.stack([h[live], h[live + step]]))
             step += 1
             at = at[at + step <= last[at]]
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["ha", "hb"])
+        both = layout.restored(np.concatenate(found, axis=1)) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*both)), pa.array(np.maximum(*both))], names=["ha", "hb"])
 
     def scan(batches):
         held: list[list[np.ndarray]] = []
@@ -130,8 +152,7 @@ def _band_pairs(rows: DataFrame, keys: list[str], blocks: list[list[int]], parts
             changes = np.zeros(b.num_rows, dtype=bool)
             for c in cols[:-1]:
                 changes[1:] |= c[1:] != c[:-1]
-            if held and any(x[0] != y[-1] for x, y in zip(cols[:-1], held[-1][:-1])):
-                changes[0] = True
+            changes[0] = bool(held) and any(x[0] != y[-1] for x, y in zip(cols[:-1], held[-1][:-1]))
             cuts = np.nonzero(changes)[0]
             if len(cuts):
                 cut = cuts[-1]
@@ -154,26 +175,21 @@ def close_hashes(hashes: DataFrame, max_distance: int = 6, tolerance: float = 1e
     """
     if not 0 <= max_distance <= 20:
         raise ValueError("max_distance must be in 0..20")
-    order = _order(seed)
-    blocks = _split(order, max_distance + 2)
-    bands = list(combinations(range(len(blocks)), 2))
-    masks = [mask_of(blocks[i] + blocks[j]) for i, j in bands]
-    # the bits that a band doesn't cover, in max_distance + 1 parts: close hashes agree on at least one of them
-    parts = [[mask_of(_split([p for t, b in enumerate(blocks) if t not in (i, j) for p in b], max_distance + 1)[s]) for i, j in bands] for s in range(max_distance + 1)]
-
-    def variants(masks: list[Column], name: str, bits: str) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(n).alias(name), F.col("h").bitwiseAND(m).alias(bits)) for n, m in enumerate(masks)])).alias("_v")
-
     distinct = hashes.where("h is not null").select("h").distinct()
-    rows = distinct.select("h", variants([F.lit(m) for m in masks], "band", "bits")).select("_v.band", "_v.bits", "h")
-    hot = stage(rows.groupBy("band", "bits").count().where(F.col("count") > band_limit).select("band", "bits"), "hot-bands")
-    how = (max_distance, tolerance, order)
+    if max_distance == 0:
+        return distinct.select(F.col("h").alias("ha"), F.col("h").alias("hb")).where(F.lit(False))
+    layout = Layout(max_distance, seed)
+    h = F.col("h")
+    rows = distinct.select(layout.permuted(h).alias("h")).select(F.explode(F.array(*[layout.key(h, n) for n in range(len(layout.bands))])).alias("key"), "h")
+    hot = stage(rows.groupBy("key").count().where(F.col("count") > band_limit).select("key"), "hot-bands")
     if hot.isEmpty():
-        return _band_pairs(rows, ["band", "bits"], blocks, None, *how)
+        return _band_pairs(rows, ["key"], layout, max_distance, tolerance)
     marked = broadcast_if_small(hot)
-    cold = _band_pairs(rows.join(marked, ["band", "bits"], "left_anti"), ["band", "bits"], blocks, None, *how)
-    split = rows.join(marked, ["band", "bits"], "left_semi").select("band", "bits", "h", variants([_pick(F.col("band"), row) for row in parts], "part", "part_bits")).select("band", "bits", "_v.*", "h")
-    return cold.unionByName(_band_pairs(split, ["band", "bits", "part", "part_bits"], blocks, parts, *how))
+    cold = _band_pairs(rows.join(marked, "key", "left_anti"), ["key"], layout, max_distance, tolerance)
+    band = (F.shiftright("key", 2 * layout.width) + 1).cast("int")
+    bits = [h.bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("bigint") for m in masks]), band)) for masks in layout.parts]
+    split = rows.join(marked, "key", "left_semi").select("key", "h", F.posexplode(F.array(*bits)).alias("part", "bits"))
+    return cold.unionByName(_band_pairs(split, ["key", "part", "bits"], layout, max_distance, tolerance))
 
 
 def close_records(records: DataFrame, max_distance: int = 6, **how) -> DataFrame:
