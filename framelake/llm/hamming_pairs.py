@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.pairing import pairs_within
 from framelake.physical import broadcast_if_small
 from framelake.staging import stage
 
@@ -201,10 +202,10 @@ def close_records(records: DataFrame, max_distance: int = 6, **how) -> DataFrame
     """
     members = stage(records.where("id is not null and h is not null").select("id", "h").distinct(), "hash-members")
     pairs = close_hashes(members, max_distance, **how)
-    same = members.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
     a, b = members.select(F.col("id").alias("ia"), F.col("h").alias("ha")), members.select(F.col("id").alias("ib"), F.col("h").alias("hb"))
-    found = pairs.unionByName(same).join(a, "ha").join(b, "hb").where("ia < ib or (ha < hb and ia > ib)")
-    return found.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    other = pairs.join(a, "ha").join(b, "hb").where("ia != ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    copies = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return other.unionByName(pairs_within(members.join(copies, "h"), "h")).distinct()
 
 
 def close_groups(records: DataFrame, max_distance: int = 6, **how) -> DataFrame:

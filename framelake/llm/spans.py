@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.llm.pairing import pairs_within
 from framelake.staging import stage
 
 SPAN = 200
@@ -166,21 +167,19 @@ def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = No
 
 
 def _sharers(found: DataFrame) -> DataFrame:
-    """``h``, ``id``: one stretch for each different set of documents that share one.
+    """``h``, ``id``, ``n``: one stretch for each different set of (n) documents that share one.
 
     Sets are told apart by their size and two 64-bit sums of hashed ids.
     """
     each = found.select("h", "id").repartition("h").distinct()
     sets = each.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"))
     one = sets.groupBy("n", "s1", "s2").agg(F.min("h").alias("h"))
-    return each.join(one.select("h"), "h", "left_semi")
+    return each.join(one.select("h", "n"), "h")
 
 
 def sharing_pairs(found: DataFrame) -> DataFrame:
     """``id_a`` < ``id_b``: documents that have a stretch in common."""
-    who = stage(_sharers(found), "sharers")
-    a, b = who.withColumnRenamed("id", "id_a"), who.withColumnRenamed("id", "id_b")
-    return a.join(b, "h").where("id_a < id_b").select("id_a", "id_b").distinct()
+    return pairs_within(stage(_sharers(found), "sharers"), "h").distinct()
 
 
 def sharing_clusters(found: DataFrame) -> DataFrame:
