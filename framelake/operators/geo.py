@@ -69,21 +69,23 @@ def _inside(edges: Column, x: Column, y: Column) -> Column:
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of ``points`` (``x``, ``y`` degrees, further columns) with ``region`` for each polygon around them.
+    """Rows of ``points`` (``x``, ``y`` degrees, further columns but ``region``) with ``region`` for each polygon around them.
 
     The edge index is broadcast if a count finds it small; otherwise points
     and index are shuffled by cell, where adaptive execution splits hot cells.
     A null or NaN coordinate is in no region.
     """
+    grid = ("ly", "lx", "cy", "cx")
     index = stage(edge_index(edges), "edge-index")
-    grids = [(r["ly"], r["lx"]) for r in index.select("ly", "lx").distinct().collect()]  # at most len(LEVELS)^2
-    if not grids:
+    sizes = [(r["ly"], r["lx"]) for r in index.select("ly", "lx").distinct().collect()]  # at most len(LEVELS)^2
+    if not sizes:
         return points.select("*", F.lit(None).cast(edges.schema["region"].dataType).alias("region")).limit(0)
-    cells = F.array(*[F.struct(F.lit(ly).alias("ly"), F.lit(lx).alias("lx"), _cell(F.col("y"), F.lit(ly)).alias("cy"), _cell(F.col("x"), F.lit(lx)).alias("cx")) for ly, lx in grids])
+    cells = F.array(*[F.struct(F.lit(ly).alias("ly"), F.lit(lx).alias("lx"), _cell(F.col("y"), F.lit(ly)).alias("cy"), _cell(F.col("x"), F.lit(lx)).alias("cx")) for ly, lx in sizes])
     usable = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    asked = usable.withColumn("_c", F.explode(cells)).withColumns({k: F.col(f"_c.{k}") for k in ("ly", "lx", "cy", "cx")}).drop("_c")
-    met = asked.join(broadcast_if_small(index), ["ly", "lx", "cy", "cx"]).where(_inside(F.col("edges"), F.col("x"), F.col("y")))
-    return met.drop("ly", "lx", "cy", "cx", "edges", "piece")
+    asked = usable.withColumn("_c", F.explode(cells)).withColumns({f"_{k}": F.col(f"_c.{k}") for k in grid}).drop("_c")
+    there = broadcast_if_small(index).withColumnsRenamed({k: f"_{k}" for k in (*grid, "edges")}).drop("piece")
+    met = asked.join(there, [f"_{k}" for k in grid]).where(_inside(F.col("_edges"), F.col("x"), F.col("y")))
+    return met.drop(*[f"_{k}" for k in (*grid, "edges")])
 
 
 def circle_edges(circles: DataFrame) -> DataFrame:

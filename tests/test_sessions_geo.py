@@ -105,6 +105,6 @@ def test_polygons_vertices_and_edges(spark):
     edges = [("p", 0, float(a), float(b), float(c), float(d)) for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1])]
     e = spark.createDataFrame(edges, "region string, piece int, x0 double, y0 double, x1 double, y1 double")
     cases = {(1, 1): True, (2, 3): False, (2, 2): True, (4, 4): True, (0, 2): True, (2, 0): True, (3, 3): True, (3, 3.5): False, (-1, 2): False, (5, 0): False, (1, 2): True, (-1, 4): False, (-1, 0): False}
-    pts = spark.createDataFrame([(float(x), float(y)) for x, y in cases], "x double, y double")
+    pts = spark.createDataFrame([(float(x), float(y)) for x, y in cases], "x double, y double").withColumns({c: F.lit(1) for c in ("ly", "cx", "edges", "piece", "x0")})
     got = {(r["x"], r["y"]) for r in points_in_polygons(pts, e).collect()}
     assert got == {k for k, v in cases.items() if v}
