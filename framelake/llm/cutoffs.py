@@ -127,5 +127,5 @@ def _snap(values: DataFrame, state: DataFrame, small: bool) -> DataFrame:
 
 def kept_items(items: DataFrame, targets: DataFrame, **how) -> DataFrame:
     """The rows of ``items`` (``grp``, ``score``, further columns) at or above their group's cutoff."""
-    cut = stage(keep_cutoffs(items.select("grp", "score"), targets, **how).select("grp", "cutoff"), "cutoffs")
-    return items.where(~F.isnan("score")).join(broadcast_if_small(cut), "grp").where(F.col("score") >= F.col("cutoff")).drop("cutoff")
+    cut = stage(keep_cutoffs(items.select("grp", "score"), targets, **how).select("grp", F.col("cutoff").alias("_cutoff")), "cutoffs")
+    return items.where(~F.isnan("score")).join(broadcast_if_small(cut), "grp").where(F.col("score") >= F.col("_cutoff")).drop("_cutoff")

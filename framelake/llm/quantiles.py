@@ -84,9 +84,12 @@ def sketch(values: DataFrame, keys: list[str], value: str, seed: int = 7) -> Dat
     """Sketch rows (``keys``, ``side``, ``level``, ``counter``, ``items``) of ``value`` per ``keys``.
 
     Null and NaN values don't count; null keys are a group of their own; an
-    empty table gives no rows.  Every task sketches what it reads, so a hot
+    empty table gives no rows.  Keys may not have the names of the other
+    columns; further columns of ``values`` are ignored.  Every task sketches what it reads, so a hot
     group is never brought together.
     """
+    if clash := {"side", "level", "counter", "items", "part"} & set(keys):
+        raise ValueError(f"keys {clash} are names of the sketch")
     kinds = {f.name: f.dataType.simpleString() for f in values.schema}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     out = f"{head}, side string, level int, counter bigint, items array<double>, part int"

@@ -49,6 +49,6 @@ def test_hot_group_extremes_and_empty(spark):
 
 
 def test_kept_items_keep_ties(spark):
-    df = spark.createDataFrame([(1, 5.0, "a"), (1, 5.0, "b"), (1, 1.0, "c"), (1, None, "d")], "grp bigint, score double, name string")
+    df = spark.createDataFrame([(1, 5.0, "a"), (1, 5.0, "b"), (1, 1.0, "c"), (1, None, "d")], "grp bigint, score double, name string").withColumns({"cutoff": F.lit(1), "permille": F.lit(2)})
     t = spark.createDataFrame([(1, 100)], "grp bigint, permille int")
     assert {r["name"] for r in kept_items(df, t).collect()} == {"a", "b"}
