@@ -13,7 +13,7 @@ from framelake.llm.hamming_pairs import close_groups, close_records
 from framelake.llm.mixing import mix
 from framelake.llm.packing import fills, pack
 from framelake.llm.quantiles import BOUND, percentiles, sketch
-from framelake.llm.spans import shared_characters, shared_stretches, sharing_clusters, sharing_pairs
+from framelake.llm.spans import shared_characters, shared_stretches, sharers, sharing_clusters, sharing_pairs
 from framelake.llm.tokens import token_counts
 from framelake.llm.topn import top_n
 from framelake.physical import broadcast_if_small
@@ -158,7 +158,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sharing_pairs(shared_stretches(_texts(spark, d), places=False)).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+    return sharing_pairs(sharers(_texts(spark, d))).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return sharing_clusters(shared_stretches(_texts(spark, d), places=False)).withColumnRenamed("id", "doc_id")
+    return sharing_clusters(sharers(_texts(spark, d))).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Query] = {

@@ -128,19 +128,11 @@ def stretches(texts: list[str], at: list[np.ndarray], span: int, shingle: int) -
     return doc, start - begins[doc], h.view(np.int64)
 
 
-def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None, places: bool = True) -> DataFrame:
-    """``h``, ``id``, ``at``: every stretch of ``span`` characters that occurs in more than one document; staged.
-
-    Without ``places`` there is no ``at``, for callers that only ask who shares.
-
-    ``docs``: ``id``, ``text``; further columns are ignored.  Rows with a null
-    id or text and texts shorter than ``span`` have none; texts are compared
-    code point by code point, whole; rows with the same id are one document.
-    """
+def _candidates(docs: DataFrame, span: int, shingle: int | None) -> DataFrame:
+    """``h``, ``id``, ``at``: the paragraphs that hold a shingle which is an anchor of another document too."""
     shingle = shingle or max(1, round(span * SHINGLE_SHARE))
     texts = docs.where(F.col("id").isNotNull() & (F.char_length("text") >= span)).select("id", "text")
-    kind = docs.schema["id"].dataType.simpleString()
-    out = f"h bigint, id {kind}, at int"
+    out = f"h bigint, id {docs.schema['id'].dataType.simpleString()}, at int"
 
     def emit(ids, doc, at, h):
         return pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["h", "id", "at"])
@@ -157,37 +149,50 @@ def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = No
             for i, j in _batches(text):
                 yield emit(b.column(0).slice(i, j - i), *stretches(text[i:j], spots[i:j], span, shingle))
 
-    def shared(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("h")
-        return rows.withColumns({"_lo": F.min("id").over(w), "_hi": F.max("id").over(w)}).where("_lo < _hi").drop("_lo", "_hi")
+    colliding = _shared(texts.mapInArrow(find, out)).groupBy("id").agg(F.collect_list("at").alias("spots"))
+    return texts.join(colliding, "id").select("id", "text", "spots").mapInArrow(verify, out)
+
 
-    colliding = shared(texts.mapInArrow(find, out)).groupBy("id").agg(F.collect_list("at").alias("spots"))
-    verified = texts.join(colliding, "id").select("id", "text", "spots").mapInArrow(verify, out)
-    return stage(shared(verified if places else verified.drop("at")), "stretches")
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose ``h`` occurs with more than one id."""
+    w = Window.partitionBy("h")
+    return rows.withColumns({"_lo": F.min("id").over(w), "_hi": F.max("id").over(w)}).where("_lo < _hi").drop("_lo", "_hi")
+
+
+def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
+    """``h``, ``id``, ``at``: every stretch of ``span`` characters that occurs in more than one document; staged.
+
+    ``docs``: ``id``, ``text``; further columns are ignored.  Rows with a null
+    id or text and texts shorter than ``span`` have none; texts are compared
+    code point by code point, whole; rows with the same id are one document.
+    """
+    return stage(_shared(_candidates(docs, span, shingle)), "stretches")
 
 
-def _sharers(found: DataFrame) -> DataFrame:
-    """``h``, ``id``, ``n``: one stretch for each different set of (n) documents that share one.
+def sharers(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
+    """``g``, ``id``, ``n``: every different set ``g`` of (n) documents that have a stretch in common; staged.
 
-    Sets are told apart by their size and two 64-bit sums of hashed ids.
+    Input as for ``shared_stretches``.  Sets are told apart by their size and
+    two 64-bit sums of hashed ids, so a passage of any length is one set; they
+    come from the same shuffle that brings equal stretches together.
     """
-    each = found.select("h", "id").repartition("h").distinct()
-    sets = each.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"))
-    one = sets.groupBy("n", "s1", "s2").agg(F.min("h").alias("h"))
-    return each.join(one.select("h", "n"), "h")
+    w = Window.partitionBy("h")
+    each = _candidates(docs, span, shingle).select("h", "id").repartition("h").distinct()
+    signed = each.select("id", F.struct(F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("id")).over(w).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).over(w).alias("s2")).alias("g"))
+    return stage(signed.where("g.n > 1").distinct().withColumn("n", F.col("g.n")), "sharers")
 
 
-def sharing_pairs(found: DataFrame) -> DataFrame:
-    """``id_a`` < ``id_b``: documents that have a stretch in common."""
-    return pairs_within(stage(_sharers(found), "sharers"), "h").distinct()
+def sharing_pairs(sets: DataFrame) -> DataFrame:
+    """``id_a`` < ``id_b``: documents that have a stretch in common, from ``sharers``."""
+    return pairs_within(sets, "g").distinct()
 
 
-def sharing_clusters(found: DataFrame) -> DataFrame:
-    """``id``, ``cluster_id`` (lowest id), ``cluster_size``: documents linked by common stretches (bigint ids)."""
+def sharing_clusters(sets: DataFrame) -> DataFrame:
+    """``id``, ``cluster_id`` (lowest id), ``cluster_size``: documents linked by common stretches, from ``sharers`` (bigint ids)."""
     from framelake.llm.components import connected_components
 
-    least = found.groupBy("h").agg(F.min("id").alias("a"))
-    comp = connected_components(found.join(least, "h").select("a", F.col("id").alias("b")).distinct())
+    least = sets.groupBy("g").agg(F.min("id").alias("a"))
+    comp = connected_components(sets.join(least, "g").select("a", F.col("id").alias("b")).distinct())
     size = comp.groupBy("component").agg(F.count("*").alias("cluster_size"))
     return comp.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"), "cluster_size")
 

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from framelake.llm.spans import shared_characters, shared_stretches, sharing_clusters, sharing_pairs
+from framelake.llm.spans import shared_characters, shared_stretches, sharers, sharing_clusters, sharing_pairs
 
 
 def brute(rows, span):
@@ -44,8 +44,7 @@ def test_pairs_and_coverage_equal_brute_force(spark):
     pairs, shared = brute(rows, 20)
     df = frame(spark, rows)
     found = shared_stretches(df, 20)
-    assert {tuple(r) for r in sharing_pairs(found).collect()} == pairs
-    assert {tuple(r) for r in sharing_pairs(shared_stretches(df, 20, places=False)).collect()} == pairs
+    assert {tuple(r) for r in sharing_pairs(sharers(df, 20)).collect()} == pairs
     got = {r["id"]: (r["chars"], r["shared_chars"]) for r in shared_characters(df, found, 20).collect()}
     assert got == shared
 
@@ -54,7 +53,7 @@ def test_any_shingle_gives_the_same(spark):
     rows = texts(7)[:60]
     pairs, _ = brute(rows, 25)
     for shingle in (1, 5, 24, 25):
-        assert {tuple(r) for r in sharing_pairs(shared_stretches(frame(spark, rows), 25, shingle)).collect()} == pairs
+        assert {tuple(r) for r in sharing_pairs(sharers(frame(spark, rows), 25, shingle)).collect()} == pairs
 
 
 def test_clusters_are_components(spark):
@@ -65,13 +64,12 @@ def test_clusters_are_components(spark):
         for a, b in pairs:
             low[a] = low[b] = min(low[a], low[b])
     members = {i for p in pairs for i in p}
-    got = {(r["id"], r["cluster_id"]) for r in sharing_clusters(shared_stretches(frame(spark, rows), 20)).collect()}
+    got = {(r["id"], r["cluster_id"]) for r in sharing_clusters(sharers(frame(spark, rows), 20)).collect()}
     assert got == {(i, low[i]) for i in members}
 
 
 def test_hot_passage_and_empty(spark):
     rows = [(i, f"{i:05d}" * 8 + "the same forty characters in every text!" + f"{i:05d}"[::-1] * 8) for i in range(150)]
-    found = shared_stretches(frame(spark, rows), 40)
-    assert sharing_pairs(found).count() == 150 * 149 // 2
-    assert sharing_pairs(shared_stretches(frame(spark, []), 40)).count() == 0
-    assert sharing_clusters(shared_stretches(frame(spark, []), 40)).count() == 0
+    assert sharing_pairs(sharers(frame(spark, rows), 40)).count() == 150 * 149 // 2
+    assert sharing_pairs(sharers(frame(spark, []), 40)).count() == 0
+    assert sharing_clusters(sharers(frame(spark, []), 40)).count() == 0
