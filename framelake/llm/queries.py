@@ -214,8 +214,19 @@ h as (select doc_id, k, md5(substr(text, k, 200)) s from g), m as (select s, min
 f as (select doc_id, k, s from h join m using (s))
 """
 
+_SQL_P9_PAIRS = _SQL_P9 + "select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from (select distinct s, doc_id from f) a join (select distinct s, doc_id from f) b on a.s = b.s and a.doc_id < b.doc_id"
+
+
+def _sql_components(pairs: str, a: str, b: str, node: str, group: str, size: str) -> str:
+    """SQL for the components of a query's pairs: all that each node reaches, then the least of it."""
+    return f"""
+with recursive e as materialized ({pairs}), p as materialized (select {a} x, {b} y from e union select {b}, {a} from e), r as (select x, x m from p union select r.x, p.y from r join p on p.x = r.m)
+select x as {node}, min(m) as {group}, count(*) as {size} from r group by x"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _SQL_P1,
+    "p1_groups": _sql_components(_SQL_P1, "image_id_a", "image_id_b", "image_id", "group_id", "group_size"),
     "p2_found": _SQL_P2 + "select r.yr as year, r.image_id from r join c using (yr) where r.score >= c.cutoff",
     "p2_cutoffs": _SQL_P2 + "select c.yr as year, c.n, c.need::bigint as need, c.cutoff, count(*) as kept from c join r using (yr) where r.score >= c.cutoff group by all",
     "p3_rank_errors": rf"""
@@ -224,7 +235,8 @@ t as (select distinct image_id, sharp_top3, luma from technical),
 m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
 u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
 select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)""",
-    "p9_found": _SQL_P9 + "select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from (select distinct s, doc_id from f) a join (select distinct s, doc_id from f) b on a.s = b.s and a.doc_id < b.doc_id",
+    "p9_found": _SQL_P9_PAIRS,
+    "p9_clusters": _sql_components(_SQL_P9_PAIRS, "doc_id_a", "doc_id_b", "doc_id", "cluster_id", "cluster_size"),
     "p9_shared": _SQL_P9
     + """, n as (select doc_id, least(200, coalesce(lead(k) over (partition by doc_id order by k) - k, 200)) c from (select distinct doc_id, k from f)), c as (select doc_id, sum(c)::bigint c from n group by 1)
 select doc_id, coalesce(length(text), 0) as chars, coalesce(c, 0) as shared_chars, case when length(text) > 0 then coalesce(c, 0) / length(text) else 0.0 end as share from documents left join c using (doc_id)""",
