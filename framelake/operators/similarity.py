@@ -9,6 +9,7 @@ queries meet blocks of rows in a shuffle.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,13 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.physical import broadcast_if_small
+from framelake.physical import broadcast_if_small, part_offsets, range_sorted
 from framelake.staging import stage
 
 #: Rows of a matrix block.
 BLOCK = 2048
 #: Blocks of queries that are broadcast at most; more are shuffled to the blocks of rows.
 BROADCAST_BLOCKS = 32
+#: Windows in a stretch of time that one task searches for near twins.
+STRETCH = 50
+#: Near twins that a task holds before it sends them on.
+PAIRS = 100_000
 
 
 def _blocks(rows: DataFrame, prefix: str, size: int = BLOCK) -> DataFrame:
@@ -128,50 +133,108 @@ def most_similar(rows: DataFrame, others: DataFrame, keys: Sequence[str], cond:
     return j.groupBy("id").agg(F.max_by(F.struct("other", "sim"), F.struct("sim", -F.col("other"))).alias("s")).select("id", "s.other", "s.sim")
 
 
+def _near_in_time(rows: DataFrame, width: float, cutoff: float, kinds: dict[str, str]) -> DataFrame:
+    """Pairs ``a``, ``b`` of rows of equal ``_k``, ``b`` later by (t, id) and at most ``width``, whose similarity is at least ``cutoff``.
+
+    Time is cut into stretches; a row stands in its own as either of a pair and
+    in the one before, if it lies near its start, as the later only, so no pair
+    is lost at an edge or found twice.  A task holds one window of rows.
+    """
+    size = (width or 1) * STRETCH
+    own = F.floor(F.col("t") / size)
+    reach = F.sequence(F.floor((F.col("t") - 2 * width) / size), own)
+    ready = rows.withColumn("_own", own).withColumn("_at", F.explode(reach)).withColumn("_first", F.col("_at") == F.col("_own")).drop("_own")
+
+    def run(batches):
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            df = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if df is None or not len(df):
+                continue
+            n, k, at, t, first = len(df), df["_k"].to_numpy(), df["_at"].to_numpy(), df["t"].to_numpy(), df["_first"].to_numpy()
+            x = np.stack([np.asarray(v, dtype=float) for v in df["v"]])
+            change = np.flatnonzero((k[1:] != k[:-1]) | (at[1:] != at[:-1])) + 1
+            ends = np.append(change, n)[np.searchsorted(change, np.arange(n), side="right")]
+            left, right, found, hi, rest = [], [], 0, 0, None
+            for i in range(n):
+                hi = max(hi, i + 1)
+                while hi < ends[i] and t[hi] - t[i] <= width:
+                    hi += 1
+                if hi == n and batch is not None:  # later rows of its window may follow
+                    rest = df.iloc[i:]
+                    break
+                if first[i]:
+                    near = i + 1 + np.flatnonzero(x[i + 1 : hi] @ x[i] >= cutoff)
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+                    found += len(near)
+                if found > PAIRS:
+                    yield table(df, left, right)
+                    left, right, found = [], [], 0
+            if found:
+                yield table(df, left, right)
+
+    def table(df, left, right):
+        a, b = df.iloc[np.concatenate(left)], df.iloc[np.concatenate(right)]
+        return pd.DataFrame({"_k": a["_k"].to_numpy()} | {f"{c}_{side}": x[c].to_numpy() for side, x in (("a", a), ("b", b)) for c in ("t", "id", "s", "g")})
+
+    ready = ready.repartition("_k", "_at").sortWithinPartitions("_k", "_at", "t", "id").select("_k", "_at", "_first", "t", "id", "s", "g", "v")
+    return ready.mapInPandas(run, "_k string, " + ", ".join(f"{c}_{side} {kinds[c]}" for side in "ab" for c in ("t", "id", "s", "g")))
+
+
+def _stretches(pairs: DataFrame) -> DataFrame:
+    """``_k``, ``_no`` and the pairs: pairs of different ``_no`` share no row, since no pair reaches over from one to the next.
+
+    Pairs are range-sorted by their earlier row; a new number begins where that
+    row lies beyond all later rows so far, which each part learns from the parts before it.
+    """
+    data = range_sorted(pairs, [F.col(c) for c in ("_k", "t_a", "id_a", "t_b", "id_b")], "near")
+    start, end = (F.struct(F.col(f"t_{x}").alias("t"), F.col(f"id_{x}").alias("id")) for x in "ab")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ends = data.groupBy("_part", "_k").agg(F.max(end).alias("_end"))
+    ends = ends.select("_part", "_k", F.max("_end").over(before.partitionBy("_k").orderBy("_part")).alias("_far"))
+    own = Window.partitionBy("_part", "_k").orderBy("_row")
+    j = data.join(ends, ["_part", "_k"]).withColumn("_far", F.greatest("_far", F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))))
+    j = j.withColumn("_new", F.coalesce((start > F.col("_far")).cast("int"), F.lit(1))).drop("_far")
+    j = j.withColumn("_no", F.sum("_new").over(own))
+    return j.join(part_offsets(j, ["_k"], F.col("_new")), ["_part", "_k"]).withColumn("_no", F.col("_no") + F.col("_before")).drop("_new", "_before", "_part", "_row")
+
+
 def demote_near(rows: DataFrame, keys: Sequence[str], time: str, width: float, cutoff: float, score: str, guarded: str) -> DataFrame:
     """``id``, ``by``: rows demoted because a near twin in time is better.
 
-    Within ``keys`` rows are taken by (time, id); each that is still standing is
-    compared with the standing ones at most ``width`` later whose similarity is
-    at least ``cutoff``: the lower score is demoted (the later one at equality),
-    and a row that loses is not compared further.  A row with ``guarded`` true
-    is never demoted.  Null times are left out; a window of rows is held.
+    Within ``keys`` (none: the whole table) rows are taken by (time, id); each
+    that is still standing is compared with the standing ones at most ``width``
+    later whose similarity is at least ``cutoff``: the lower score is demoted
+    (the later one at equality), and a row that loses is not compared further.
+    A row with ``guarded`` true is never demoted.  Null times are left out.
+
+    Similar pairs are found in parallel; only their order matters to who wins,
+    so each stretch of pairs that no pair leads out of is worked off by itself.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {"t": kinds[time], "id": kinds["id"], "s": kinds[score], "g": "boolean"}
 
-    def settle(held: list[dict]) -> list[tuple]:
-        """Compare the first held row with the others; they are all that lie within its window."""
-        a, out = held[0], []
-        for b in held[1:]:
-            if a["by"] is not None:
-                break
-            if b["by"] is None and float(np.dot(a["v"], b["v"])) >= cutoff:
-                loser, winner = (a, b) if b["s"] > a["s"] else (b, a)
-                if not loser["g"]:
-                    loser["by"] = winner["id"]
-                    out.append((loser["id"], winner["id"]))
-        return out
-
-    def run(batches):
-        now, held = None, []
-        for batch in batches:
+    def settle(batches):
+        now, gone = None, {}
+        for p in batches:
             out = []
-            for key, i, t, s, g, v in zip(zip(*[batch[k] for k in keys]), batch["id"], batch[time], batch[score], batch[guarded], batch["v"]):
-                if key != now:
-                    while held:
-                        out += settle(held)
-                        held.pop(0)
-                    now = key
-                while held and t - held[0]["t"] > width:
-                    out += settle(held)
-                    held.pop(0)
-                held.append({"id": i, "t": t, "s": s, "g": bool(g), "v": np.asarray(v, dtype=float), "by": None})
+            for key, no, ta, a, sa, ga, tb, b, sb, gb in p.itertuples(index=False, name=None):
+                if (key, no) != now:
+                    now, gone = (key, no), {}
+                if a in gone or b in gone:
+                    continue
+                lost, won, t, held = (a, b, ta, ga) if sb > sa else (b, a, tb, gb)
+                if not held:
+                    gone[lost] = t
+                    out.append((lost, won))
+            if len(p):
+                gone = {i: t for i, t in gone.items() if t >= ta}  # earlier rows are in no later pair
             yield pd.DataFrame(out, columns=["id", "by"])
-        out = []
-        while held:
-            out += settle(held)
-            held.pop(0)
-        yield pd.DataFrame(out, columns=["id", "by"])
-
-    ready = rows.where(F.col(time).isNotNull() & F.col("v").isNotNull() & F.col(score).isNotNull()).select(*keys, "id", time, score, F.coalesce(guarded, F.lit(False)).alias(guarded), "v")
-    return ready.repartition(*keys).sortWithinPartitions(*keys, time, "id").mapInPandas(run, f"id {kinds['id']}, by {kinds['id']}")
+
+    ready = rows.where(F.col(time).isNotNull() & F.col("v").isNotNull() & F.col(score).isNotNull())
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    ready = ready.select(key.alias("_k"), "id", F.col(time).alias("t"), F.col(score).alias("s"), F.coalesce(guarded, F.lit(False)).alias("g"), "v")
+    cols = ["_k", "_no", "t_a", "id_a", "s_a", "g_a", "t_b", "id_b", "s_b", "g_b"]
+    pairs = _stretches(_near_in_time(ready, width, cutoff, kinds)).select(*cols)
+    return pairs.repartition("_k", "_no").sortWithinPartitions("_k", "_no", "t_a", "id_a", "t_b", "id_b").mapInPandas(settle, f"id {kinds['id']}, by {kinds['id']}")

@@ -414,4 +414,4 @@ def scoped_replacement(spark, d):
 def near_demotions(spark, d):
     """Sequential by definition; held against brute force in the tests."""
     v = _vectors(spark, d).withColumns({"t": F.col("id"), "score": F.col("label").cast("double"), "star": F.col("label") == 9})
-    return similarity.demote_near(v.withColumn("g", F.expr("id div 50")), ["g"], "t", 20, 0.2, "score", "star")
+    return similarity.demote_near(v, [], "t", 20, 0.2, "score", "star")

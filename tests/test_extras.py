@@ -71,6 +71,54 @@ def test_demote_near_equals_brute_force(spark):
         assert {tuple(r) for r in similarity.demote_near(df, ["k"], "t", width, cutoff, "s", "star").collect()} == brute(width, cutoff)
 
 
+def _demoted(rows, width, cutoff):
+    """Brute force over rows (id, t, score, star, v)."""
+    order, gone, out = sorted(rows, key=lambda r: (r[1], r[0])), set(), set()
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if a[0] in gone or b[1] - a[1] > width:
+                break
+            if b[0] not in gone and np.dot(a[4], b[4]) >= cutoff:
+                lose, win = (a, b) if b[2] > a[2] else (b, a)
+                if not lose[3]:
+                    gone.add(lose[0])
+                    out.add((lose[0], win[0]))
+    return out
+
+
+def test_near_demotions_over_the_whole_table(spark, tmp_path):
+    from framelake.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 24))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
+    labels = [int(x) for x in rng.integers(0, 10, 400)]
+    spark.createDataFrame([(i, labels[i], [float(x) for x in v[i]]) for i in range(400)], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = _demoted([(i, i, float(labels[i]), labels[i] == 9, v[i].astype(float)) for i in range(400)], 20, 0.2)
+    got = [tuple(r) for r in QUERIES["near_demotions"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(a // 50 != b // 50 for a, b in got)
+
+
+def test_demote_near_across_batches_and_stretches(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, float(rng.integers(-300, 300)) / 4, float(rng.integers(0, 5)), bool(rng.random() < 0.1), [float(x) for x in v[i]]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, t double, s double, star boolean, v array<double>").repartition(5)
+    size, span = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), similarity.STRETCH
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        for stretch, width, cutoff in ((1, 2.0, 0.7), (3, 1.0, 0.9), (50, 0.25, 0.5), (2, 0, -1.0), (1, 40.0, 0.97)):
+            similarity.STRETCH = stretch
+            got = [tuple(r) for r in similarity.demote_near(df, [], "t", width, cutoff, "s", "star").collect()]
+            assert len(got) == len(set(got)) and set(got) == _demoted(rows, width, cutoff)
+    finally:
+        similarity.STRETCH = span
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert similarity.demote_near(df.limit(0), [], "t", 1, 0.5, "s", "star").count() == 0
+
+
 def test_small_relational_helpers(spark):
     df = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, None)], "k int, p int, good boolean")
     assert {(r["k"], r["p"]) for r in relational.first_where(df, ["k"], F.col("good"), "p").collect()} == {(1, 2), (2, 1)}
