@@ -20,6 +20,12 @@ def fold_name(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
 
 
+def folded(text: Column) -> Column:
+    """``fold_name`` where it differs from lower case: ASCII texts are folded in the JVM and reach Python as nulls."""
+    foreign = text.rlike(r"[^\x00-\x7F]")
+    return F.when(foreign, fold_name(F.when(foreign, text))).otherwise(F.lower(text))
+
+
 def loose_fold(text: Column) -> Column:
     """ASCII lower case with every run of a base letter and its marks, or of other non-ASCII characters, as one ``?``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions import paths
+from framelake.functions import paths, text
 
 
 def best_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -25,6 +25,10 @@ def first_by_key(rows: DataFrame, keys: Sequence[str], order: Column, *cols: str
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
+def _with_fold(rows: DataFrame, column: str = "name") -> DataFrame:
+    return rows if "fold" in rows.columns else rows.withColumn("fold", text.folded(F.col(column)))
+
+
 def reconcile(declared: DataFrame, observed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Match declared names with observed ones, both ways.
 
@@ -34,13 +38,14 @@ def reconcile(declared: DataFrame, observed: DataFrame, scope: Sequence[str] = (
     the same folded form (column ``match`` has it), else ``absent``.  Observed
     names that match no declared one in either way are ``extra`` (null key).
     Null names match nothing; repeated observed names count once.  Names are
-    compared folded by ``fold`` columns if given, else in lower case.
+    compared folded by ``fold`` columns if given, else by ``text.folded``
+    (composed and case-folded).
     """
     scope = list(scope)
-    fold = lambda df: df if "fold" in df.columns else df.withColumn("fold", F.lower("name"))
-    seen = fold(observed).where("name is not null").select(*scope, "name", "fold").distinct()
+    given = ["fold"] if "fold" in observed.columns else []
+    seen = _with_fold(observed.where("name is not null").select(*scope, "name", *given).distinct())
     folded = seen.groupBy(*scope, "fold").agg(F.count("*").alias("_n"), F.min("name").alias("_one"), F.collect_set("name").alias("_all"))
-    d = fold(declared).select(*scope, "key", "name", "fold")
+    d = _with_fold(declared).select(*scope, "key", "name", "fold")
     j = d.join(folded, [*scope, "fold"], "left")
     exact = F.coalesce(F.array_contains("_all", F.col("name")), F.lit(False))
     state = F.when(exact, "present").when(F.col("_n") == 1, "spelling_equivalent").otherwise("absent")
@@ -59,12 +64,13 @@ def tally(states: DataFrame, keys: Sequence[str], state: str, values: Sequence[s
 
 
 def name_and_size_hits(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """Every found file of a wanted name (any case), with ``size_match``; null sizes match nothing.
+    """Every found file of a wanted name (any case and composition), with ``size_match``; null sizes match nothing.
 
-    ``wanted``: ``key``, ``name``, ``size``; ``found``: ``path``, ``name``, ``size``.
+    ``wanted``: ``key``, ``name``, ``size``; ``found``: ``path``, ``name``,
+    ``size``.  Names are compared by ``fold`` columns if given, else by ``text.folded``.
     """
-    w = wanted.select("key", F.lower("name").alias("_f"), F.col("size").alias("wanted_size"))
-    f = found.select("path", F.lower("name").alias("_f"), F.col("size").alias("found_size"))
+    w = _with_fold(wanted).select("key", F.col("fold").alias("_f"), F.col("size").alias("wanted_size"))
+    f = _with_fold(found).select("path", F.col("fold").alias("_f"), F.col("size").alias("found_size"))
     return w.join(f, "_f").select("key", "path", "wanted_size", "found_size", F.coalesce(F.col("wanted_size") == F.col("found_size"), F.lit(False)).alias("size_match"))
 
 
@@ -106,10 +112,11 @@ def classify_files(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     Both have ``path`` and ``size``.  ``cataloged``: the path is known;
     ``sibling``: a cataloged file of that folder has its stem; ``copy``: a
     cataloged file has its name and size; ``repeat``: an earlier listed file (by
-    path) has its name and size; else ``new``.  Paths are compared in lower
-    case; null sizes are equal to none.
+    path) has its name and size; else ``new``.  Paths are compared by ``fold``
+    columns if given, else by ``text.folded``; null sizes are equal to none.
     """
-    key = lambda df: df.where("path is not null").select("path", "size", F.lower("path").alias("p"), F.lower(paths.basename(F.col("path"))).alias("n"), F.lower(F.concat(paths.dirname(F.col("path")), F.lit("/"), paths.stem(F.col("path")))).alias("ds"))
+    p = F.col("fold")
+    key = lambda df: _with_fold(df.where("path is not null"), "path").select("path", "size", p.alias("p"), paths.basename(p).alias("n"), F.concat(paths.dirname(p), F.lit("/"), paths.stem(p)).alias("ds"))
     f, c = key(listing), key(catalog)
     flag = lambda keys, name: c.select(*keys).distinct().withColumn(name, F.lit(True))
     j = f.join(flag(["p"], "_a"), "p", "left").join(flag(["ds"], "_b"), "ds", "left").join(flag(["n", "size"], "_c"), ["n", "size"], "left")

@@ -94,7 +94,7 @@ def reconcile_state(spark, d):
 
 def _files(spark, d):
     i = one_image(read(spark, d, "images"), "path", "path_state", "capture_time", "file_size")
-    return i.withColumn("name", F.lower(paths.basename(F.col("path"))))
+    return i.withColumn("name", text.folded(paths.basename(F.col("path"))))
 
 
 _FILES = "f as (select distinct image_id, path, path_state, capture_time, file_size, lower(regexp_extract(path, '[^/]*$')) as name from images)"
@@ -119,7 +119,8 @@ with {_FILES}, h as (select m.image_id key, k.path, m.file_size wanted_size, k.f
 b as (select *, row_number() over (partition by key order by not size_match, path) n from h) select key, path, found_size, size_match from b where n = 1""")
 def name_size_hits(spark, d):
     f = _files(spark, d)
-    hits = rel.name_and_size_hits(f.where("path_state = 'missing'").select(F.col("image_id").alias("key"), "name", F.col("file_size").alias("size")), f.where("path_state != 'missing'").select("path", "name", F.col("file_size").alias("size")))
+    fold = F.col("name").alias("fold")
+    hits = rel.name_and_size_hits(f.where("path_state = 'missing'").select(F.col("image_id").alias("key"), fold, F.col("file_size").alias("size")), f.where("path_state != 'missing'").select("path", fold, F.col("file_size").alias("size")))
     return rel.best_hit(hits)
 
 

@@ -61,6 +61,36 @@ def test_identity_and_classification(spark):
     assert {r["path"]: r["state"] for r in rel.classify_files(f, cat).collect()} == {"/x/a.RAW": "cataloged", "/x/a.jpg": "sibling", "/y/a.raw": "copy", "/y/n.jpg": "new", "/z/N.jpg": "repeat", "/z/m.jpg": "new", "/w/m.jpg": "new"}
 
 
+NFC, NFD = "/x/\u00c9t\u00e9 Stra\u00dfe.NEF", "/y/E\u0301te\u0301 STRASSE.nef"  # the same name, composed and decomposed, sharp s and SS
+
+
+def test_names_match_composed_and_case_folded(spark):
+    a, b = NFC.split("/")[-1], NFD.split("/")[-1]
+    declared = spark.createDataFrame([(1, a), (2, "plain.JPG"), (3, None)], "key int, name string")
+    observed = spark.createDataFrame([(b,), ("PLAIN.jpg",), ("\u00e9.nef",), (None,)], "name string")
+    got = {(r["key"], r["match"]): r["state"] for r in rel.reconcile(declared, observed).collect()}
+    assert got == {(1, b): "spelling_equivalent", (2, "PLAIN.jpg"): "spelling_equivalent", (3, None): "absent", (None, "\u00e9.nef"): "extra"}
+    both = spark.createDataFrame([(b,), (a.upper(),)], "name string")
+    assert rel.reconcile(declared.where("key = 1"), both).where("key = 1").first()["state"] == "absent"
+    hits = rel.name_and_size_hits(spark.createDataFrame([(1, a, 5), (2, "q", 5)], "key int, name string, size int"), spark.createDataFrame([(NFD, b, 5), (NFD, b, None)], "path string, name string, size int"))
+    assert sorted(tuple(r) for r in hits.select("key", "path", "size_match").collect()) == [(1, NFD, False), (1, NFD, True)]
+    catalog = spark.createDataFrame([(NFC, 5)], "path string, size int")
+    listing = [(NFD.replace("/y/", "/x/"), 1), (NFD.replace("/y/", "/X/").replace("nef", "xmp"), 1), (NFD, 5), (NFD, 6), (NFC.replace("/x/", "/z/"), 6)]
+    got = {tuple(r)[:2]: r["state"] for r in rel.classify_files(spark.createDataFrame(listing, "path string, size int"), catalog).collect()}
+    assert [got[x] for x in listing] == ["cataloged", "sibling", "copy", "new", "repeat"]
+
+
+def test_file_queries_match_decomposed_names(spark, tmp_path):
+    from framelake.plans.catalog import QUERIES
+
+    rows = [(1, NFC, "missing", "t", 5), (2, NFD, "found", "t", 5), (3, "/q/a.jpg", "missing", "u", 6), (4, "/r/A.JPG", "found", "u", 7)]
+    spark.createDataFrame(rows, "image_id bigint, path string, path_state string, capture_time string, file_size bigint").write.parquet(str(tmp_path / "images.parquet"))
+    got = lambda name, *c: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*c).collect()}
+    assert got("candidate_verdict", "key", "candidate", "verdict") == {(1, 2, "same"), (3, 4, "same_time")}
+    assert got("name_size_hits", "key", "path", "size_match") == {(1, NFD, True), (3, "/r/A.JPG", False)}
+    assert got("classify_cascade", "path", "state") == {(NFC, "copy"), ("/q/a.jpg", "new")}
+
+
 def test_longest_prefix_mirrors_rejects(spark):
     rows = spark.createDataFrame([("/a/b/c.jpg",), ("/a/x.jpg",), ("/q",), (None,)], "p string")
     roots = spark.createDataFrame([("/A",), ("/a/b",), (None,)], "root string")
