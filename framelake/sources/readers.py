@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.functions.vectors import unit
+from framelake.staging import stage
+
+#: Files that a task lists before it sends them on.
+LISTED_ROWS = 10_000
 
 
 def csv_rows(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -50,16 +57,100 @@ def optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet")
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+_LISTED = "path string, name string, size bigint, modified bigint, _raw binary, _folder boolean"
+
+
 def file_listing(spark: SparkSession, path: str, skip: Sequence[str] = (), content: bool = False) -> DataFrame:
-    """``path``, ``name``, ``size``, ``modified`` of all files below; folders that begin with a dot or are in ``skip`` are left out.
+    """``path``, ``name``, ``size``, ``modified`` of all files below; names that begin with a dot and folders in ``skip`` are left out.
 
-    Only metadata is read unless ``content`` is asked for.
+    Only what is below ``path`` (which may be a glob) is left out, not ``path``
+    itself.  Links to folders are not followed; a link that leads nowhere has
+    null ``size`` and ``modified``.  A folder that can't be read is an error.
+
+    Spark's file sources leave out names that begin with ``_`` and empty files,
+    so folders are rows here, and tasks list one level of them after the other;
+    the folder is the same for all executors.  Where it is no mounted folder
+    (another scheme than ``file``), the driver lists, and there is no ``content``.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    parts = F.split("path", "/")
-    hidden = F.exists(parts, lambda s: s.startswith(".") | (s.isin(*skip) if skip else F.lit(False)))
-    cols = ["path", F.element_at(parts, -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
-    return rows.where(~hidden).select(*cols, *(["content"] if content else []))
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    roots = [fs.getFileStatus(root)] if fs.exists(root) else list(fs.globStatus(root) or [])
+    if not roots:
+        raise FileNotFoundError(path)
+    if fs.getUri().getScheme() != "file":
+        if content:
+            raise ValueError(f"content can only be read from a mounted folder, not from {path}")
+        return _listed_by_driver(spark, fs, roots, skip)
+
+    def entry(at: bytes, folder: bool) -> tuple:
+        try:
+            st = os.stat(at)
+            size, modified = st.st_size, st.st_mtime_ns // 1000
+        except OSError:
+            size, modified = None, None
+        text = at.decode("utf-8", "replace")
+        return "file:" + text, text.rsplit("/", 1)[-1], size, modified, at, folder
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame(rows, columns=["path", "name", "size", "modified", "_raw", "_folder"])
+        return df.astype({"size": "Int64", "modified": "Int64", "_folder": bool})
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for folder in batch["_raw"]:
+                with os.scandir(bytes(folder)) as entries:
+                    for e in entries:
+                        into = e.is_dir(follow_symlinks=False)
+                        if e.name.startswith(b".") or (into and e.name.decode("utf-8", "replace") in skip) or (not into and e.is_dir()):
+                            continue
+                        rows.append(entry(e.path, into))
+                        if len(rows) >= LISTED_ROWS:
+                            yield table(rows)
+                            rows = []
+            yield table(rows)
+
+    def read(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.iloc[k : k + 1]
+                try:
+                    with open(bytes(one["_raw"].iloc[0]), "rb") as f:
+                        data = f.read()
+                except OSError:
+                    data = None
+                yield one.assign(content=[data])
+
+    local = [(bytearray(r.getPath().toUri().getPath().encode()), r.isDirectory()) for r in roots]
+    files = spark.createDataFrame([(at,) for at, folder in local if not folder], "_raw binary").mapInPandas(lambda bs: (table([entry(bytes(x), False) for x in b["_raw"]]) for b in bs), _LISTED)
+    folders = spark.createDataFrame([(at,) for at, folder in local if folder], "_raw binary")
+    while n := folders.count():
+        level = stage(folders.repartition(min(n, 4 * sc.defaultParallelism)).mapInPandas(scan, _LISTED), "listing")
+        files = files.unionByName(level.where("not _folder"))
+        folders = level.where("_folder").select("_raw")
+    files = files.drop("_folder")
+    if content:
+        files = files.mapInPandas(read, _LISTED.replace("_folder boolean", "content binary"))
+    return files.withColumn("modified", F.timestamp_micros("modified")).drop("_raw")
+
+
+def _listed_by_driver(spark: SparkSession, fs, roots: list, skip: Sequence[str]) -> DataFrame:
+    rows, todo = [], []
+
+    def take(s):
+        at = s.getPath()
+        rows.append((at.toString(), at.getName(), s.getLen(), datetime.fromtimestamp(s.getModificationTime() / 1000, timezone.utc)))
+
+    for s in roots:
+        todo.append(s.getPath()) if s.isDirectory() else take(s)
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name = s.getPath().getName()
+            if name.startswith(".") or (s.isDirectory() and name in skip) or (s.isSymlink() and fs.getFileStatus(s.getPath()).isDirectory()):
+                continue
+            todo.append(s.getPath()) if s.isDirectory() else take(s)
+    return spark.createDataFrame(rows, "path string, name string, size bigint, modified timestamp")
 
 
 def folder_states(listing: DataFrame, folders: DataFrame) -> DataFrame:

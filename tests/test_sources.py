@@ -42,6 +42,37 @@ def test_optional_listing_and_logs(spark, tmp_path):
     assert {r["folder"]: (r["state"], r["files"]) for r in readers.folder_states(ls, f).collect()} == {"/a": ("listed", 1), "/b": ("unreadable", 0), "/c": ("absent", 0)}
 
 
+def test_listing_is_whole(spark, tmp_path):
+    root = tmp_path / ".trash" / "skip" / "tree"  # only what is below the root is left out
+    sizes = {"a/x.NEF": 5, "a/_DSC1.NEF": 5, "_sub/y.NEF": 3, "a/zero.NEF": 0, "a/b/c/_MG_2.CR2": 1, "a/skip": 2, "top é.jpg": 4, "#1 %20.jpg": 1}
+    for name, n in (sizes | {"skip/z.jpg": 9, "a/skip2/.h/q.jpg": 9}).items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"1" * n)
+    (root / "a" / "up").symlink_to(root, target_is_directory=True)
+    (root / "lost.jpg").symlink_to(root / "nowhere")
+    got = readers.file_listing(spark, str(root), skip=["skip"], content=True).collect()
+    paths = {f"file:{root}/{n}": n for n in [*sizes, "lost.jpg"]}
+    assert sorted(r["path"] for r in got) == sorted(paths)
+    for r in got:
+        n = paths[r["path"]]
+        assert r["name"] == n.split("/")[-1] and r["size"] == sizes.get(n)
+        assert (r["content"] is None and r["modified"] is None) if n == "lost.jpg" else (bytes(r["content"]) == b"1" * sizes[n] and abs(r["modified"].timestamp() - (root / n).stat().st_mtime) < 0.01)
+    assert readers.file_listing(spark, f"{root}/a/*.NEF").count() == 3
+    assert [r["name"] for r in readers.file_listing(spark, f"{root}/a/_DSC1.NEF").collect()] == ["_DSC1.NEF"]
+    with pytest.raises(FileNotFoundError):
+        readers.file_listing(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert readers.file_listing(spark, str(tmp_path / "empty")).count() == 0
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(str(root))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (root / "lost.jpg").unlink()
+    (root / "a" / "up").unlink()
+    by_driver = readers._listed_by_driver(spark, fs, [fs.getFileStatus(at)], ["skip"]).collect()
+    assert {(r["path"], r["size"]) for r in by_driver} == {(r["path"], r["size"]) for r in got if r["name"] != "lost.jpg"}
+
+
 def test_vectors_and_sidecars(spark):
     s = spark.createDataFrame([(1, [3.0, 4.0], 0), (1, [0.0, 2.0], 1), (2, [0.0, 0.0], 0)], "id int, v array<float>, shard int")
     assert {r["id"]: r["v"] for r in readers.vector_shards(s).collect()} == {1: [0.0, 1.0], 2: None}
