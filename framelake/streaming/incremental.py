@@ -58,6 +58,25 @@ def windowed_counts(stream: DataFrame, time: str, late: str, width: str, keys: S
     return stream.withWatermark(time, late).groupBy(F.window(time, width, slide), *keys).agg(F.count("*").alias("n"))
 
 
+def files_lateness(rows: DataFrame, time: str) -> int:
+    """Seconds that a watermark must lag for no row of a folder's files to be late, if the files are read in order of modification.
+
+    ``rows`` is a batch read of the files.  One row per file comes to the
+    driver.  Files of one modification time may be read in any order; a row at
+    the watermark itself would be late, so it lags by a second more.
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    files = rows.where(F.col(time).isNotNull()).groupBy(F.col("_metadata.file_modification_time").alias("m")).agg(F.min(us).alias("a"), F.max(us).alias("b"), F.count_distinct("_metadata.file_path").alias("n"))
+    most, seen = 0, None
+    for r in sorted(files.collect(), key=lambda r: r["m"]):
+        if r["n"] > 1:
+            most = max(most, r["b"] - r["a"])
+        if seen is not None:
+            most = max(most, seen - r["a"])
+        seen = r["b"] if seen is None else max(seen, r["b"])
+    return -(-most // 1_000_000) + 1
+
+
 def session_stream(stream: DataFrame, entity: str, time: str, gap_s: float, late: str) -> DataFrame:
     """``entity``, ``start``, ``end``, ``events`` of sessions that the watermark has closed.
 

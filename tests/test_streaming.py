@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.streaming import incremental as inc
@@ -44,6 +47,29 @@ def test_session_stream_keeps_the_gap_boundary(spark, tmp_path):
     assert got == {(1, 1000.0, 1010.0, 2), (1, 1021.0, 1021.0, 1), (2, 1005.0, 1005.0, 1)}
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2), (1, 1, 1, 1)])
+def test_stream_sessions_of_files_that_overlap_in_time(spark, tmp_path, order):
+    from framelake.plans.catalog import QUERIES
+
+    files = [[(1, 0), (1, 3000), (2, 100)], [(1, 6000), (1, 90000), (2, 90000)], [(1, 5999), (2, 3700), (1, 93601), (3, -50)], [(1, 250000), (2, 250000), (1, 97202)]]
+    folder = tmp_path / "events.parquet"
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(u, t, 1000 * k + i) for i, (u, t) in enumerate(rows)], "user_id bigint, t bigint, event_id bigint").select("user_id", F.timestamp_seconds("t").alias("ts"), "event_id").coalesce(1).write.parquet(str(tmp_path / str(k)))
+        folder.mkdir(exist_ok=True)
+        for p in (tmp_path / str(k)).glob("*.parquet"):
+            os.utime(p, (1_700_000_000 + 10 * order[k],) * 2)
+            p.rename(folder / f"{k}.parquet")
+    want, last = [], {}
+    for u, t in sorted(r for rows in files for r in rows):
+        if u in last and t - last[u][2] <= 3600:
+            last[u][2:] = [t, last[u][3] + 1]
+        else:
+            last[u] = [u, t, t, 1]
+            want.append(last[u])
+    got = {tuple(r) for r in QUERIES["stream_sessions"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(x) for x in want}
+
+
 def test_feedback_adds_and_rebuilds(spark, tmp_path):
     src, built = str(tmp_path / "in"), []
     s = feed(spark, src, [[(1,), (None,)], [(2,), (1,)]], "id bigint")
