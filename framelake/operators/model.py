@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.operators.windows import ranked
 from framelake.staging import stage
 
 
@@ -47,20 +48,22 @@ def fit_preference(rows: DataFrame, c: float = 0.5, folds: int = 5, least_positi
     """Fit on ``rows`` (``id``, ``grp``, ``v``, boolean ``label``); None if there are too few positives or groups.
 
     Classes are balanced by weights; the penalty is 1 / (C n).  Folds hold
-    whole groups, spread by hash.
+    whole groups, dealt out in the order of a hash, so each has its share of
+    them and, as every group has a positive, none leaves the others without
+    one.  Only with a single group there is nothing to fit on: its rows are
+    held out with a null ``p``.
     """
     train = stage(training_rows(rows.where("v is not null and label is not null")), "train")
     have = train.agg(F.count_if("label").alias("p"), F.count_distinct("grp").alias("g")).first()
     if have["p"] < least_positives or have["g"] < least_groups:
         return None
     folds = min(folds, have["g"])
-    fold = F.pmod(F.xxhash64("grp"), F.lit(folds))
+    groups = ranked(train.select("grp").distinct(), [F.xxhash64("grp"), F.col("grp")], "_fold").withColumn("_fold", F.pmod("_fold", F.lit(folds)))
+    dealt = stage(train.join(groups, "grp"), "folds")
     out = None
     for k in range(folds):
-        part, rest = train.where(fold == k), train.where(fold != k)
-        if part.isEmpty() or rest.where("label").isEmpty():
-            continue
-        s = _scored(_fit(rest, c), part)
+        part, rest = dealt.where(F.col("_fold") == k).drop("_fold"), dealt.where(F.col("_fold") != k)
+        s = _scored(_fit(rest, c), part) if folds > 1 else part.withColumn("p", F.lit(None).cast("double"))
         out = s if out is None else out.unionByName(s)
     return Preference(_fit(train, c), out)
 

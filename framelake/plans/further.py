@@ -112,10 +112,17 @@ def none_similar(spark, d):
 
 @query()
 def taste_model(spark, d):
-    """Held-out scores; iterative, so without SQL (held against an independent solver in the tests)."""
+    """``score`` of the final model for all vectors, and ``p``, the held-out score of training rows (else null).
+
+    Iterative, so without SQL (held against an independent solver in the tests).
+    """
     rows = _vectors(spark, d).select("id", F.expr("cast(id div 10 as bigint)").alias("grp"), "v", (F.col("label") >= 5).alias("label"))
     fit = model.fit_preference(rows)
-    return fit.held_out.select("id", "label", "p") if fit else rows.select("id", "label", F.lit(None).cast("double").alias("p")).limit(0)
+    none = F.lit(None).cast("double")
+    if fit is None:
+        return rows.select("id", "label", none.alias("p"), none.alias("score")).limit(0)
+    scores = fit.score(rows.where("v is not null")).select("id", "label", F.col("p").alias("score"))
+    return scores.join(fit.held_out.select("id", "p"), "id", "left").select("id", "label", "p", "score")
 
 
 # Text and JSON

@@ -89,3 +89,30 @@ def test_preference_equals_newton(spark):
     assert auc(fit.held_out, "p", "label").first()["auc"] > 0.7
     assert fit.score(rows).count() == 400
     assert model.fit_preference(rows.where("id < 20")) is None
+
+
+def _labelled(spark, groups, seed):
+    """Twenty rows of each group, about half of them positive (none where the group's flag is false)."""
+    rng = np.random.default_rng(seed)
+    return [(20 * k + i, g, [float(z) for z in rng.normal(size=3)], bool(flag and (i % 2 == 0))) for k, (g, flag) in enumerate(groups) for i in range(20)]
+
+
+def test_every_training_row_is_held_out_once(spark):
+    schema = "id bigint, grp bigint, v array<double>, label boolean"
+    alike = [r["id"] for r in spark.range(100).where(F.pmod(F.xxhash64("id"), F.lit(5)) == 2).limit(6).collect()]
+    rows = spark.createDataFrame(_labelled(spark, [(g, True) for g in alike] + [(1000, False)], 3), schema)
+    held = model.fit_preference(rows).held_out.collect()
+    assert sorted(r["id"] for r in held) == list(range(120)) and all(0 < r["p"] < 1 for r in held)
+    one = model.fit_preference(rows.where(F.col("grp") == alike[0]), least_positives=1, least_groups=1)
+    assert [r["p"] for r in one.held_out.collect()] == [None] * 20 and one.score(rows).count() == 140
+
+
+def test_taste_model_scores_all_vectors(spark, tmp_path):
+    from framelake.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(6)
+    labels = [0 if i < 40 else i % 10 for i in range(200)]  # ids below 40: four groups of ten without a positive
+    spark.createDataFrame([(i, labels[i], [float(z) for z in rng.normal(size=4)]) for i in range(200)], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["id"]: r for r in QUERIES["taste_model"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(200)) and all(0 < r["score"] < 1 for r in got.values())
+    assert all((r["p"] is None) == (i < 40) for i, r in got.items())
