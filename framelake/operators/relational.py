@@ -29,14 +29,16 @@ def _with_fold(rows: DataFrame, column: str = "name") -> DataFrame:
     return rows if "fold" in rows.columns else rows.withColumn("fold", text.folded(F.col(column)))
 
 
-def reconcile(declared: DataFrame, observed: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def reconcile(declared: DataFrame, observed: DataFrame, scope: Sequence[str] = (), sidecars: DataFrame | None = None) -> DataFrame:
     """Match declared names with observed ones, both ways.
 
     ``declared``: ``scope``, ``name``, ``key``; ``observed``: ``scope``,
     ``name``.  Within a scope a declared name is ``present`` if it is observed
     exactly, ``spelling_equivalent`` if not but exactly one observed name has
     the same folded form (column ``match`` has it), else ``absent``.  Observed
-    names that match no declared one in either way are ``extra`` (null key).
+    names that match no declared one in either way are ``extra`` (null key), or
+    ``companion`` if their folded form is among ``sidecars`` (``scope``,
+    ``name``), the names that files beside the declared ones may have.
     Null names match nothing; repeated observed names count once.  Names are
     compared folded by ``fold`` columns if given, else by ``text.folded``
     (composed and case-folded).
@@ -52,7 +54,11 @@ def reconcile(declared: DataFrame, observed: DataFrame, scope: Sequence[str] = (
     match = F.when(exact, F.col("name")).when(F.col("_n") == 1, F.col("_one"))
     hits = j.select(*scope, "key", "name", state.alias("state"), match.alias("match"))
     used = hits.where("match is not null").select(*scope, F.col("match").alias("name")).distinct()
-    extra = seen.join(used, [*scope, "name"], "left_anti").select(*scope, F.lit(None).cast(declared.schema["key"].dataType).alias("key"), "name", F.lit("extra").alias("state"), F.col("name").alias("match"))
+    rest, state = seen.join(used, [*scope, "name"], "left_anti"), F.lit("extra")
+    if sidecars is not None:
+        beside = _with_fold(sidecars.where("name is not null")).select(*scope, "fold").distinct().withColumn("_beside", F.lit(True))
+        rest, state = rest.join(beside, [*scope, "fold"], "left"), F.when(F.col("_beside"), "companion").otherwise("extra")
+    extra = rest.select(*scope, F.lit(None).cast(declared.schema["key"].dataType).alias("key"), "name", state.alias("state"), F.col("name").alias("match"))
     return hits.unionByName(extra)
 
 

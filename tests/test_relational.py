@@ -15,6 +15,14 @@ def test_reconcile_folded_names(spark):
     assert rel.reconcile(declared.limit(0), observed.limit(0), ["folder"]).count() == 0
 
 
+def test_reconcile_parts_companions_from_extras(spark):
+    declared = spark.createDataFrame([("d", 1, "A.NEF"), ("d", 2, "b.xmp"), ("e", 3, "A.NEF")], "folder string, key int, name string")
+    observed = spark.createDataFrame([("d", "a.nef"), ("d", "a.XMP"), ("d", "b.xmp"), ("d", "a.jpg"), ("e", "a.xmp"), ("f", "a.xmp")], "folder string, name string")
+    sidecars = spark.createDataFrame([("d", "A.xmp"), ("d", "A.xmp"), ("d", "b.xmp"), ("e", "A.jpg"), ("e", None)], "folder string, name string")
+    got = {(r["folder"], r["key"], r["name"]): r["state"] for r in rel.reconcile(declared, observed, ["folder"], sidecars).collect()}
+    assert got == {("d", 1, "A.NEF"): "spelling_equivalent", ("d", 2, "b.xmp"): "present", ("e", 3, "A.NEF"): "absent", ("d", None, "a.XMP"): "companion", ("d", None, "a.jpg"): "extra", ("e", None, "a.xmp"): "extra", ("f", None, "a.xmp"): "extra"}
+
+
 def test_verdicts(spark):
     c = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13), (1, 99), (2, 10), (3, 14)], "key int, candidate int")
     m = spark.createDataFrame([(1, "t", 5), (3, None, None)], "key int, time string, size int")
