@@ -114,6 +114,46 @@ def session_stream(stream: DataFrame, entity: str, time: str, gap_s: float, late
     return marked.groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, start double, end double, events bigint", "a array<double>, b array<double>, n array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def burst_stream(stream: DataFrame, entity: str, time: str, tie: str, gap_s: float, late: str, bits: str, most_bits: int = 20) -> DataFrame:
+    """As ``session_stream``, with the second rule of ``windows.bursts``: rows in order of (time, tie) also part where their ``bits`` differ from the previous row's in more than ``most_bits``.
+
+    ``tie`` and ``bits`` are bigint; null bits count as no difference.  State
+    per entity is the times, ties and bits of the rows of open bursts, since a
+    row that comes later may stand between them.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = stream.schema[entity].dataType.simpleString()
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [tuple(x) for x in zip(*state.get)] if state.exists else []
+        for f in frames:
+            rows += zip(f["_t"].tolist(), f["_i"].tolist(), f["_h"].tolist())
+        groups: list[list] = []
+        for row in sorted(rows):
+            if groups:
+                t, _, h = groups[-1][-1]
+                parted = row[2] != "" and h != "" and ((int(row[2]) ^ int(h)) & (1 << 64) - 1).bit_count() > most_bits
+            if groups and row[0] - t <= gap_s and not parted:
+                groups[-1].append(row)
+            else:
+                groups.append([row])
+        mark = state.getCurrentWatermarkMs() / 1000
+        closed = [g for g in groups if g[-1][0] + gap_s < mark]
+        still = [g for g in groups if g[-1][0] + gap_s >= mark]
+        if still:
+            state.update(tuple(list(c) for c in zip(*[r for g in still for r in g])))
+            state.setTimeoutTimestamp(max(int((still[0][-1][0] + gap_s) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        if closed:
+            yield pd.DataFrame({entity: [key[0]] * len(closed), "start": [g[0][0] for g in closed], "end": [g[-1][0] for g in closed], "events": [len(g) for g in closed]})
+
+    # bits as text: pandas would make floats of a column with nulls
+    marked = stream.withWatermark(time, late).withColumns({"_t": F.unix_micros(time) / 1_000_000, "_i": F.col(tie).cast("bigint"), "_h": F.coalesce(F.col(bits).cast("string"), F.lit(""))})
+    return marked.groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, start double, end double, events bigint", "t array<double>, i array<bigint>, h array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def feedback(stream: DataFrame, table: str, checkpoint: str, key: str, rebuild: Callable[[DataFrame], None]):
     """Add the ids of every batch to an override set and rebuild what depends on it."""
     spark = stream.sparkSession

@@ -47,6 +47,21 @@ def test_session_stream_keeps_the_gap_boundary(spark, tmp_path):
     assert got == {(1, 1000.0, 1010.0, 2), (1, 1021.0, 1021.0, 1), (2, 1005.0, 1005.0, 1)}
 
 
+def test_burst_stream_equals_bursts(spark, tmp_path):
+    from framelake.operators import windows as wn
+
+    far = (1 << 21) - 1  # 21 bits
+    rows = [[(1, 1000, 1, 0), (1, 1004, 3, far), (2, 1000, 1, -1)], [(1, 1002, 2, 1), (1, 1004, 2, 0), (2, 1009, 2, None), (2, 1010, 3, 0)], [(1, 1014, 5, far), (1, 1016, 6, far >> 1), (2, 1011, 4, -1)], [(1, 9000, 7, 0), (2, 9000, 7, 0)], [(1, 9900, 8, 0), (2, 9900, 8, 0)]]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    s = feed(spark, src, rows, "u bigint, t bigint, i bigint, h bigint").withColumn("ts", F.timestamp_seconds("t"))
+    q = inc.burst_stream(s, "u", "ts", "i", 10, "30 seconds", "h")
+    q.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("u", "start", "end", "events").collect() if r["end"] < 9000)
+    batch = wn.bursts(spark.createDataFrame([r for b in rows for r in b if r[1] < 9000], "u bigint, t bigint, i bigint, h bigint"), ["u"], "t", "i", 10, "h")
+    want = sorted(tuple(r) for r in batch.groupBy("u", "burst").agg(F.min("t").cast("double").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").alias("n")).select("u", "a", "b", "n").collect())
+    assert got == want and len(want) == 4
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2), (1, 1, 1, 1)])
 def test_stream_sessions_of_files_that_overlap_in_time(spark, tmp_path, order):
     from framelake.plans.catalog import QUERIES
