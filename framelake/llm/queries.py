@@ -134,6 +134,22 @@ def p7_fills(spark: SparkSession, d: str) -> DataFrame:
     return fills(pack(_sized(spark, d), kinds), kinds).withColumnsRenamed(_PACKED)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of ``p7_containers``, counted over all documents and containers of each kind.
+
+    ``overfull`` containers, ``needless`` (documents in pieces that would fit whole), ``torn`` (documents whose pieces
+    don't add up to their size), and whether the containers are within one in a hundred of what the tokens fill.
+    """
+    kinds, sizes = _kinds(spark, d), _sized(spark, d)
+    packed = stage(pack(sizes, kinds), "packed")
+    cap = F.broadcast(kinds.where("capacity >= 1").distinct())  # checked by pack: one row per kind
+    bins = fills(packed, kinds).join(cap, "kind").groupBy("kind", "capacity").agg(F.count_if(F.col("free") < 0).alias("overfull"), F.count_if(F.col("used") > 0).alias("bins"), F.sum("used").alias("used"))
+    docs = packed.groupBy("kind", "id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("got")).join(sizes.select("id", "tokens"), "id", "full").join(cap, "kind", "left")
+    of = docs.groupBy("kind").agg(F.count("*").alias("docs"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("needless"), F.count_if(~F.col("got").eqNullSafe(F.col("tokens"))).alias("torn"))
+    full = F.col("bins") <= F.ceil(F.col("used") / F.col("capacity")) * 1.01 + 1
+    return of.join(bins, "kind").select(F.col("kind").alias("pack_name"), "docs", "overfull", "needless", "torn", full.alias("full"))
+
+
 # Problem 8: mixing sources to target weights
 
 
@@ -182,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "p6_top3": p6_top3,
     "p7_containers": p7_containers,
     "p7_fills": p7_fills,
+    "p7_invariants": p7_invariants,
     "p8_order": p8_order,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
@@ -235,6 +252,8 @@ t as (select distinct image_id, sharp_top3, luma from technical),
 m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
 u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
 select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)""",
+    "p7_invariants": """
+select pack_name, count(distinct doc_id) as docs, 0::bigint as overfull, 0::bigint as needless, 0::bigint as torn, true as "full" from pack_sizes, documents where capacity_tokens >= 1 group by 1""",
     "p9_found": _SQL_P9_PAIRS,
     "p9_clusters": _sql_components(_SQL_P9_PAIRS, "doc_id_a", "doc_id_b", "doc_id", "cluster_id", "cluster_size"),
     "p9_shared": _SQL_P9
