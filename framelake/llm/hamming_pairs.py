@@ -5,22 +5,31 @@ Method: Bayesian candidate pruning.  A hash is read as the set of its
 MinHash of such a set is the bit at the first position, so successive
 positions of one permutation give successive MinHash values, drawn without
 replacement: of ``d`` differing bits, ``m`` differ among the first ``k`` values
-with hypergeometric probability.  Candidates are compared in batches of 16
-values; a pair is dropped once the posterior probability that it reaches the
-threshold (prior: every ``d`` equally likely) falls below ``tolerance``, and
-what is left is verified exactly.  At the default tolerance only pairs whose
-posterior is zero fall below it, so no pair is lost; a larger one prunes
-earlier and may lose pairs with about that probability.
-
-Candidates come from exact banding: the bits are split into
-``max_distance + 2`` blocks, so two close hashes agree on at least two whole
-blocks, and each pair is emitted only by the first two blocks it agrees on.
+with hypergeometric probability.
+
+Candidates come from banding: the bits are split into ``max_distance + 2``
+blocks, and two hashes meet in every band (pair of blocks) in which they agree;
+two close hashes do so in one band at least.  The band's values are the first
+that were compared, all equal; further ones are drawn block by block, in an
+order of the band's own.  After each block a pair is dropped once the posterior
+probability that it is close (prior: every ``d`` equally likely) falls below
+``tolerance``.  What is left is verified exactly.
+
+A single comparison errs for some close pairs.  But most of these agree in
+several bands, which draw in different orders, and a pair is found if any of
+them keeps it.  ``lost`` counts all ways in which the differing bits of a close
+pair can lie in the blocks and says which are pruned in every band; the default
+tolerance is the largest of ``TOLERANCES`` for which there is none, so pruning
+loses no pair at all.  A larger tolerance prunes more and may lose pairs, zero
+prunes only what cannot be close.
+
 Work is done on distinct hashes; copies are joined back at the end.
 """
 
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -34,8 +43,13 @@ from framelake.physical import broadcast_if_small
 from framelake.staging import stage
 
 BITS = 64
-#: Distinct hashes in one band beyond which the band is split again by the bits it doesn't cover.
+#: Distinct hashes in one band beyond which the band is split by the bits it doesn't cover, up to ``LEVELS`` times.
 BAND_LIMIT = 4096
+LEVELS = 3
+#: Tolerances that are tried for the default.
+TOLERANCES = (0.2, 0.1, 0.05, 0.02, 0.01, 1e-3, 1e-4, 1e-6)
+#: Largest distance for which all patterns of differing bits are counted; beyond it the default tolerance is zero.
+COUNTED = 8
 
 
 def signed(mask: int) -> int:
@@ -50,18 +64,28 @@ def posterior(k: int, m: int, max_distance: int) -> float:
 
 def allowed(k: int, max_distance: int, tolerance: float) -> int:
     """Most differing values among ``k`` at which a pair is still kept; -1 if none."""
-    return max([m for m in range(k + 1) if posterior(k, m, max_distance) >= tolerance], default=-1)
+    return max([m for m in range(k + 1) if posterior(k, m, max_distance) >= max(tolerance, 1e-300)], default=-1)
+
+
+def _patterns(most: int, blocks: int) -> np.ndarray:
+    """All ways to have 1..most differing bits in the blocks: one row of numbers a pattern."""
+    rows = np.zeros((1, 0), dtype=np.int8)
+    for _ in range(blocks):
+        rows = np.concatenate([np.column_stack([rows[rows.sum(axis=1) <= most - d], np.full((rows.sum(axis=1) <= most - d).sum(), d, dtype=np.int8)]) for d in range(most + 1)])
+    return rows[rows.sum(axis=1) > 0]
 
 
 class Layout:
-    """Where bits, blocks and bands are.
+    """Where bits, blocks, bands and values are.
 
     Hashes are handled with their bits permuted (distances stay the same), so
-    that successive MinHash values are successive bits and a block is a run of
-    bits.  A band is a pair of blocks; its key holds the band and both blocks.
+    that a block is a run of bits.  A band is a pair of blocks; its key holds
+    the band and both blocks.  It draws its values from the block that follows
+    its second one, around in a circle.
     """
 
-    def __init__(self, max_distance: int, seed: int):
+    def __init__(self, max_distance: int, seed: int, tolerance: float | None = None):
+        self.most = max_distance
         self.order = list(range(BITS))
         random.Random(seed).shuffle(self.order)
         n = max_distance + 2
@@ -69,10 +93,42 @@ class Layout:
         self.width = max(b - a for a, b in self.spans)
         self.bands = list(combinations(range(n), 2))
         self.masks = [signed(sum(1 << p for p in range(a, b))) for a, b in self.spans]
-        # per band, the bits it doesn't cover in max_distance + 1 parts: close hashes agree on at least one
-        rest = [[p for t, (a, b) in enumerate(self.spans) if t not in band for p in range(a, b)] for band in self.bands]
-        cut = lambda r, s: r[s * len(r) // (max_distance + 1) : (s + 1) * len(r) // (max_distance + 1)]
-        self.parts = [[signed(sum(1 << p for p in cut(r, s))) for r in rest] for s in range(max_distance + 1)]
+        self.draws = [[t % n for t in range(j + 1, j + n) if t % n not in (i, j)] for i, j in self.bands]
+        if tolerance is None:
+            tolerance = next((t for t in TOLERANCES if not len(self.lost(t))), 0.0) if max_distance <= COUNTED else 0.0
+        self.tolerance = tolerance
+        self.most_after = self.limits(tolerance)
+
+    def limits(self, tolerance: float) -> list[list[int]]:
+        """Per band, the differing values at which a pair is still kept after each block drawn."""
+        size = [b - a for a, b in self.spans]
+        out = []
+        for (i, j), draw in zip(self.bands, self.draws):
+            seen = size[i] + size[j] + np.cumsum([size[t] for t in draw])
+            out.append([allowed(int(k), self.most, tolerance) for k in seen])
+        return out
+
+    def lost(self, tolerance: float) -> np.ndarray:
+        """The patterns of differing bits (numbers in the blocks) that every band prunes or misses."""
+        rows = _patterns(self.most, len(self.spans))
+        found = np.zeros(len(rows), dtype=bool)
+        for band, draw, most in zip(self.bands, self.draws, self.limits(tolerance)):
+            found |= (rows[:, band] == 0).all(axis=1) & (np.cumsum(rows[:, draw], axis=1) <= np.array(most)).all(axis=1)
+        return rows[~found]
+
+    def parts(self, level: int) -> list[list[int]]:
+        """Per path (band, then the part taken at each earlier level), the masks of the parts that the bits it leaves are cut into.
+
+        Close hashes agree in one part at least.
+        """
+        n = self.most + 1
+        if not level:
+            left = [[p for t, (a, b) in enumerate(self.spans) if t not in band for p in range(a, b)] for band in self.bands]
+        else:
+            left = [[p for p in rest if not mask >> p & 1] for rest, masks in zip(self._left, self._masks) for mask in masks]
+        self._left = left
+        self._masks = [[sum(1 << p for p in r[s * len(r) // n : (s + 1) * len(r) // n]) for s in range(n)] for r in left]
+        return [[signed(m) for m in masks] for masks in self._masks]
 
     def permuted(self, h: Column) -> Column:
         out = F.lit(0).cast("bigint")
@@ -91,31 +147,45 @@ class Layout:
         return F.lit(n << 2 * self.width).cast("bigint").bitwiseOR(F.shiftleft(i, self.width)).bitwiseOR(j)
 
 
-def _band_pairs(rows: DataFrame, keys: list[str], layout: Layout, max_distance: int, tolerance: float) -> DataFrame:
-    """Close pairs within the bands of ``rows`` (``key``, perhaps ``part`` and ``bits``, ``h``), each emitted by its own band only.
+@lru_cache(maxsize=16)
+def _layout(max_distance: int, seed: int, tolerance: float | None) -> Layout:
+    return Layout(max_distance, seed, tolerance)
+
+
+#: What ``_band_pairs`` gives: pairs, or how many pairs each block of values drops.
+_PAIRS, _COUNTS = "ha bigint, hb bigint", "drawn int, compared bigint, kept bigint"
+
+
+def _band_pairs(rows: DataFrame, layout: Layout, splits: list[list[list[int]]], out: str = _PAIRS) -> DataFrame:
+    """Close pairs within the groups of ``rows`` (``key``, after splits also ``path`` and ``bits``, ``h``), each emitted by one group only.
 
-    Rows are brought together by ``keys`` and sorted; a task then compares each
-    row with the one 1, 2, 3, ... places further in its band, for all rows at
-    once, and holds one band at a time.
+    Rows are brought together by group and sorted; a task then compares each
+    row with the one 1, 2, 3, ... places further in its group, for all rows at
+    once, and holds one group at a time.
     """
-    split = "part" in keys
-    block_masks = [np.int64(m) for m in layout.masks]
-    part_masks = np.array(layout.parts, dtype=np.int64)
-    own_of = np.array([(1 << i) | (1 << j) for i, j in layout.bands])
-    rounds = [(np.int64((1 << k) - 1), allowed(k, max_distance, tolerance)) for k in (16, 32, 48)]
-    shift = np.int64(2 * layout.width)
+    keys = ["key", "path", "bits"] if splits else ["key"]
+    n_parts = layout.most + 1
+    part_masks = [np.array(level, dtype=np.int64) for level in splits]
+    band_masks = np.array([layout.masks[i] | layout.masks[j] for i, j in layout.bands], dtype=np.int64)
+    drawn_masks = np.bitwise_or.accumulate(np.array([[layout.masks[t] for t in draw] for draw in layout.draws], dtype=np.int64), axis=1)
+    most_after = np.array(layout.most_after)
+    shift, max_distance = np.int64(2 * layout.width), layout.most
+    blocks = drawn_masks.shape[1]
+    counting = out == _COUNTS
 
     def ones(x: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would take the absolute value
 
-    def owned(x: np.ndarray, band: np.ndarray, part: np.ndarray | None) -> np.ndarray:
-        # bit t of ``agree`` says that block t doesn't differ; a pair belongs to its two lowest set bits
-        agree = sum(((x & m) == 0).astype(np.int64) << t for t, m in enumerate(block_masks))
-        low = agree & -agree
-        rest = agree ^ low
-        ok = (low | (rest & -rest)) == own_of[band]
-        if part is not None:
-            ok &= np.argmax((x[:, None] & part_masks[:, band].T) == 0, axis=1) == part
+    def owned(x: np.ndarray, band: np.ndarray, path: np.ndarray | None) -> np.ndarray:
+        # the first band in which the pair meets and is not pruned has it
+        keeps = (x[:, None] & band_masks) == 0
+        for t in range(blocks):
+            keeps &= ones(x[:, None] & drawn_masks[:, t]) <= most_after[:, t]
+        ok = np.argmax(keeps, axis=1) == band
+        for level, masks in enumerate(part_masks):  # and in it, the first part at every level
+            at = path // n_parts ** (len(part_masks) - level)
+            part = path // n_parts ** (len(part_masks) - level - 1) % n_parts
+            ok &= np.argmax((x[:, None] & masks[at]) == 0, axis=1) == part
         return ok
 
     def compare(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -126,21 +196,26 @@ def _band_pairs(rows: DataFrame, keys: list[str], layout: Layout, max_distance:
             new[1:] |= c[1:] != c[:-1]
         ends = np.append(np.nonzero(new)[0], n) - 1
         last = ends[np.cumsum(new)]
+        band = cols[0] >> shift
         at, step, found = np.nonzero(last > np.arange(n))[0], 1, []
+        compared, kept = np.zeros(blocks, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
         while len(at):
-            x = h[at] ^ h[at + step]
-            live = at
-            for mask, most in rounds:
-                keep = ones(x & mask) <= most
+            x, live = h[at] ^ h[at + step], at
+            for t in range(blocks):
+                b = band[live]
+                keep = ones(x & drawn_masks[b, t]) <= most_after[b, t]
+                compared[t] += len(x)
                 x, live = x[keep], live[keep]
+                kept[t] += len(x)
             keep = (ones(x) <= max_distance) & (x != 0)
             x, live = x[keep], live[keep]
-            keep = owned(x, cols[0][live] >> shift, cols[1][live] if split else None)
-            live = live[keep]
-            if len(live):
+            if len(live) and not counting:
+                live = live[owned(x, band[live], cols[1][live] if part_masks else None)]
                 found.append(np.stack([h[live], h[live + step]]))
             step += 1
             at = at[at + step <= last[at]]
+        if counting:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(1, blocks + 1, dtype=np.int32)), pa.array(compared), pa.array(kept)], names=["drawn", "compared", "kept"])
         both = layout.restored(np.concatenate(found, axis=1)) if found else np.empty((2, 0), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(*both)), pa.array(np.maximum(*both))], names=["ha", "hb"])
 
@@ -165,32 +240,56 @@ def _band_pairs(rows: DataFrame, keys: list[str], layout: Layout, max_distance:
         if held:
             yield compare([np.concatenate(x) for x in zip(*held)])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "h").mapInArrow(scan, "ha bigint, hb bigint")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "h").mapInArrow(scan, out)
 
 
-def close_hashes(hashes: DataFrame, max_distance: int = 6, tolerance: float = 1e-12, band_limit: int = BAND_LIMIT, seed: int = 11) -> DataFrame:
+def _compared(hashes: DataFrame, layout: Layout, band_limit: int, out: str) -> DataFrame:
+    """``_band_pairs`` of all bands; what holds more than ``band_limit`` hashes is split by further bits, and again."""
+    h = F.col("h")
+    distinct = hashes.where("h is not null").select("h").distinct()
+    rows = distinct.select(layout.permuted(h).alias("h")).select(F.explode(F.array(*[layout.key(h, n) for n in range(len(layout.bands))])).alias("key"), "h")
+    keys, splits, done = ["key"], [], None
+    while True:
+        hot = None
+        if len(splits) < LEVELS:
+            hot = stage(rows.groupBy(*keys).count().where(F.col("count") > band_limit).select(*keys), "hot-bands")
+            if hot.isEmpty():
+                hot = None
+        marked = broadcast_if_small(hot) if hot is not None else None
+        here = _band_pairs(rows if hot is None else rows.join(marked, keys, "left_anti"), layout, splits, out)
+        done = here if done is None else done.unionByName(here)
+        if hot is None:
+            return done
+        parts = layout.parts(len(splits))
+        masks = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in path]) for path in parts])
+        path = F.shiftright("key", 2 * layout.width).cast("int") if not splits else F.col("path")
+        taken = F.lit(0).cast("bigint") if not splits else F.col("bits")
+        hot_rows = rows.join(marked, keys, "left_semi").select("key", path.alias("_path"), taken.alias("_bits"), "h")
+        cut = hot_rows.select("key", "_path", "_bits", "h", F.posexplode(F.element_at(masks, F.col("_path") + 1)).alias("_part", "_mask"))
+        # a path says which bits are in ``bits``
+        rows = cut.select("key", (F.col("_path") * (layout.most + 1) + F.col("_part")).cast("int").alias("path"), F.col("_bits").bitwiseOR(h.bitwiseAND(F.col("_mask"))).alias("bits"), "h")
+        keys = ["key", "path", "bits"]
+        splits = [*splits, parts]
+
+
+def close_hashes(hashes: DataFrame, max_distance: int = 6, tolerance: float | None = None, band_limit: int = BAND_LIMIT, seed: int = 11) -> DataFrame:
     """Pairs (``ha``, ``hb``; ha < hb) of distinct hashes that differ in 1..max_distance bits.
 
     ``hashes`` has a bigint column ``h``.  Nulls are ignored, repeats count
-    once, an empty table gives an empty result.
+    once, an empty table gives an empty result.  ``tolerance`` None: the largest
+    one that loses nothing.
     """
     if not 0 <= max_distance <= 20:
         raise ValueError("max_distance must be in 0..20")
-    distinct = hashes.where("h is not null").select("h").distinct()
     if max_distance == 0:
-        return distinct.select(F.col("h").alias("ha"), F.col("h").alias("hb")).where(F.lit(False))
-    layout = Layout(max_distance, seed)
-    h = F.col("h")
-    rows = distinct.select(layout.permuted(h).alias("h")).select(F.explode(F.array(*[layout.key(h, n) for n in range(len(layout.bands))])).alias("key"), "h")
-    hot = stage(rows.groupBy("key").count().where(F.col("count") > band_limit).select("key"), "hot-bands")
-    if hot.isEmpty():
-        return _band_pairs(rows, ["key"], layout, max_distance, tolerance)
-    marked = broadcast_if_small(hot)
-    cold = _band_pairs(rows.join(marked, "key", "left_anti"), ["key"], layout, max_distance, tolerance)
-    band = (F.shiftright("key", 2 * layout.width) + 1).cast("int")
-    bits = [h.bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("bigint") for m in masks]), band)) for masks in layout.parts]
-    split = rows.join(marked, "key", "left_semi").select("key", "h", F.posexplode(F.array(*bits)).alias("part", "bits"))
-    return cold.unionByName(_band_pairs(split, ["key", "part", "bits"], layout, max_distance, tolerance))
+        return hashes.select(F.col("h").alias("ha"), F.col("h").alias("hb")).where(F.lit(False))
+    return _compared(hashes, _layout(max_distance, seed, tolerance), band_limit, _PAIRS)
+
+
+def pruning(hashes: DataFrame, max_distance: int = 6, tolerance: float | None = None, band_limit: int = BAND_LIMIT, seed: int = 11) -> DataFrame:
+    """``drawn`` (blocks of values), ``compared``, ``kept``: the comparisons that each step of the pruning sees and keeps, over all bands."""
+    each = _compared(hashes, _layout(max_distance, seed, tolerance), band_limit, _COUNTS)
+    return each.groupBy("drawn").agg(F.sum("compared").alias("compared"), F.sum("kept").alias("kept"))
 
 
 def close_records(records: DataFrame, max_distance: int = 6, **how) -> DataFrame:

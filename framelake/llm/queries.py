@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.identifiers import hex64, whole_number
 from framelake.llm.cutoffs import keep_cutoffs, kept_items
-from framelake.llm.hamming_pairs import close_groups, close_records
+from framelake.llm.hamming_pairs import close_groups, close_hashes, close_records, pruning
 from framelake.llm.mixing import mix
 from framelake.llm.packing import fills, pack
 from framelake.llm.quantiles import BOUND, percentiles, sketch
@@ -41,6 +41,18 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return close_groups(_hashes(spark, d), 6).withColumnRenamed("id", "image_id")
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different hashes that the exact form finds (tolerance 0), and how many of them the default tolerance finds."""
+    h = stage(_hashes(spark, d).select("h"), "hashes")
+    every, some = close_hashes(h, 6, tolerance=0), close_hashes(h, 6).withColumn("hit", F.lit(True))
+    return every.join(some, ["ha", "hb"], "full").agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+
+
+def p1_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons before and after each pruning step."""
+    return pruning(_hashes(spark, d).select("h"), 6)
+
+
 # Problem 2: cutoff keeping a target fraction
 
 
@@ -189,6 +201,8 @@ def p9_clusters(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p1_recall": p1_recall,
+    "p1_pruning": p1_pruning,
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
     "p3_percentiles": p3_percentiles,
@@ -243,6 +257,7 @@ select x as {node}, min(m) as {group}, count(*) as {size} from r group by x"""
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _SQL_P1,
+    "p1_recall": _SQL_P1.replace("t as (select image_id,", "t as (select distinct").replace("select a.image_id image_id_a, b.image_id image_id_b", "select count(*) as pairs, count(*) as found").replace("a.image_id < b.image_id", "a.h < b.h"),
     "p1_groups": _sql_components(_SQL_P1, "image_id_a", "image_id_b", "image_id", "group_id", "group_size"),
     "p2_found": _SQL_P2 + "select r.yr as year, r.image_id from r join c using (yr) where r.score >= c.cutoff",
     "p2_cutoffs": _SQL_P2 + "select c.yr as year, c.n, c.need::bigint as need, c.cutoff, count(*) as kept from c join r using (yr) where r.score >= c.cutoff group by all",

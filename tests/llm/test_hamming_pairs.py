@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions.identifiers import hex64
-from framelake.llm.hamming_pairs import allowed, close_groups, close_hashes, close_records, posterior, signed
+from framelake.llm.hamming_pairs import BITS, LEVELS, Layout, allowed, close_groups, close_hashes, close_records, posterior, pruning, signed
 
 
 def hashes(seed=1, n=60):
@@ -86,15 +86,53 @@ def test_groups_are_components(spark):
 def test_posterior():
     assert posterior(64, 6, 6) == 1 and posterior(16, 7, 6) == 0
     assert 0 < posterior(16, 6, 6) < posterior(16, 2, 6) < 1
-    assert [allowed(k, 6, 1e-12) for k in (16, 32, 48)] == [6, 6, 6]
-    assert allowed(16, 6, 1e-2) < 6
-
-
-def test_loose_tolerance_only_loses_pairs(spark):
-    rows = list(enumerate(hashes(3)))
-    every = {tuple(r) for r in close_hashes(frame(spark, rows), 6).collect()}
-    some = {tuple(r) for r in close_hashes(frame(spark, rows), 6, tolerance=0.05).collect()}
-    assert some <= every and len(some) > 0.7 * len(every)
+    assert allowed(24, 6, 0.2) == 3 and allowed(64, 6, 0.2) == 6 and allowed(24, 6, 0) == 6
+
+
+@pytest.mark.parametrize("most", [1, 3, 6, 8])
+def test_the_default_tolerance_prunes_and_loses_nothing(most):
+    layout = Layout(most, 11)
+    assert layout.tolerance >= 0.05 and not len(layout.lost(layout.tolerance))
+    assert most < 3 or min(layout.most_after[0]) < most
+    rnd = random.Random(most)
+    drawn = [[sum(layout.masks[t] for t in draw[: k + 1]) for k in range(len(draw))] for draw in layout.draws]
+    ones = lambda x: (x % (1 << BITS)).bit_count()
+    for _ in range(3000):
+        x = sum(1 << p for p in rnd.sample(range(BITS), most))
+        kept = [all(ones(x & m) <= k for m, k in zip(masks, limit)) for masks, limit, band in zip(drawn, layout.most_after, layout.bands) if not x & (layout.masks[band[0]] | layout.masks[band[1]]) % (1 << BITS)]
+        assert any(kept)
+
+
+def test_a_larger_tolerance_loses_what_is_counted(spark):
+    layout = Layout(6, 11, 0.9)
+    assert len(layout.lost(0.9)) > 0
+    rows = list(enumerate(hashes(3, 120)))
+    every = {tuple(r) for r in close_hashes(frame(spark, rows), 6, tolerance=0).collect()}
+    assert every == {tuple(r) for r in close_hashes(frame(spark, rows), 6).collect()}
+    some = {tuple(r) for r in close_hashes(frame(spark, rows), 6, tolerance=0.9).collect()}
+    assert some < every
+
+
+def test_pruning_report(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.getrandbits(12)) for i in range(3000)]  # many meet in a band
+    steps = sorted(map(tuple, pruning(frame(spark, rows), 6).collect()))
+    assert len(steps) == 6 and all(k <= c for _, c, k in steps) and [c for _, c, _ in steps[1:]] == [k for _, _, k in steps[:-1]]
+    exact = sorted(map(tuple, pruning(frame(spark, rows), 6, tolerance=0).collect()))
+    assert exact[0][1] == steps[0][1] and exact[0][2] > steps[0][2]
+
+
+def test_hot_groups_are_split_again(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(200):  # all agree on 52 bits
+        x = 0
+        for p in rnd.sample(range(12), rnd.randint(0, 8)):
+            x ^= 1 << (5 * p)
+        rows.append((i, x))
+    assert LEVELS > 1
+    got = {tuple(r) for r in close_records(frame(spark, rows), 3, band_limit=4).collect()}
+    assert got == brute(rows, 3)
 
 
 def test_hex64(spark):
