@@ -1,32 +1,43 @@
 """Long exact spans shared between records.
 
-Method: paragraph MinHash banding.  A paragraph is any stretch of ``span``
-characters, at every offset.  Its MinHash is the least hash among its shingles
-of ``shingle`` characters; neighbouring paragraphs mostly share it, so a text of
-n characters has about 2 n / (span - shingle + 2) of them (its anchors).  The
-bands are tuned to one band of one row, for which two equal paragraphs collide
-with certainty: recall is 1.  Colliding paragraphs are joined and verified by
-the fingerprint of all their ``span`` characters, and documents are clustered by
-components.
-
-Nothing grows with the square of a group: fingerprints are counted, documents
-that share a hundred of them in a row are paired once (by the signature of the
-set of documents), and coverage and clusters need no pairs at all.
+Method: paragraph MinHash banding.  The MinHash of a stretch of ``span``
+characters is the least hash among its shingles of ``shingle`` characters; the
+shingles that are the least of some stretch are a text's anchors, about
+2 / (span - shingle + 2) of its characters.  An anchor's paragraph is the anchor
+with ``span - shingle`` characters at either side (less at the ends of the
+text), so it holds every stretch whose MinHash the anchor is.  The bands are
+tuned to one band of one row, the anchor's hash: two paragraphs with a common
+stretch collide with certainty (recall 1), and more bands or rows could only add
+work or lose some.  Colliding paragraphs are joined; verified paragraphs form
+classes and sets, and documents are clustered by components.
+
+Verification is exact and needs no pairs.  Paragraphs with the same fingerprint
+(of all characters and the anchor's place) are a class: their Jaccard similarity
+is one.  Where an anchor has several classes, one paragraph of each is cut into
+its stretches, and classes meet in the stretches that they have in common (edit
+distance zero over ``span`` characters).
+
+The texts are read twice for their anchors, of which only those that collide are
+kept, and are looked up a third time for the classes that differ; what is
+shuffled are anchors.  Groups are counted by aggregations that combine before
+the shuffle and joined back, so a passage in a third of all documents is split
+like any skewed key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.pairing import pairs_within
+from framelake.physical import broadcast_if_small
 from framelake.staging import stage
 
 SPAN = 200
 #: Share of the span that a shingle takes: shorter ones make fewer anchors, longer ones collide less by chance.
-SHINGLE_SHARE = 0.6
+SHINGLE_SHARE = 0.3
 #: Characters hashed at once; bounds a worker's memory. A longer text is a batch of its own.
 BATCH_CHARS = 1_000_000
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
@@ -61,6 +72,9 @@ class Rolling:
         n = len(self.sums) - length
         return _mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
 
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[high] - self.sums[low]) * self.back[low])
+
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """``best`` (minimum or maximum) of x[i : i + width] for every i, by doubling; shorter at the end."""
@@ -91,95 +105,119 @@ def _batches(texts: list[str]):
         yield at, len(texts)
 
 
-def anchors(texts: list[str], span: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position and hash of every shingle that is the least of some paragraph."""
-    codes, begins, end = _joined(texts)
-    n = len(codes)
-    if n < span:
-        return (np.empty(0, dtype=np.int64),) * 3
-    width = span - shingle + 1
-    h = Rolling(codes).windows(shingle)
-    least = _slide(h, width, np.minimum)  # of the paragraph that starts here
-    paragraphs = n - span + 1
-    whole = np.arange(paragraphs) + span <= end[:paragraphs]
-    # a shingle is an anchor if it is the least of one of the whole paragraphs that start up to width - 1 before it
-    claimed = np.concatenate([np.zeros(width - 1, dtype=np.uint64), np.where(whole, least[:paragraphs], 0), np.zeros(width - 1, dtype=np.uint64)])
-    at = np.nonzero(_slide(claimed, width, np.maximum) == h)[0]
-    at = at[h[at] > 0]
-    doc = np.searchsorted(begins, at, side="right") - 1
-    return doc, at - begins[doc], h[at].view(np.int64)
-
-
-def stretches(texts: list[str], at: list[np.ndarray], span: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start and hash of every paragraph that holds one of its text's anchors ``at``."""
+def _fingerprints(roll: Rolling, at: np.ndarray, before: np.ndarray, after: np.ndarray, shingle: int) -> np.ndarray:
+    """Of the paragraphs around the anchors ``at``."""
+    place = before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+    return _mix(roll.between(at - before, at + shingle + after) ^ place).view(np.int64)
+
+
+def anchors(texts: list[str], span: int, shingle: int) -> dict[str, np.ndarray]:
+    """Of every anchor: ``doc`` (text number), ``at``, hash ``h``, and of its paragraph the fingerprint ``f`` and what it has ``before`` and ``after`` the anchor."""
     codes, begins, end = _joined(texts)
     n = len(codes)
     if n < span:
-        return (np.empty(0, dtype=np.int64),) * 3
-    paragraphs = n - span + 1
-    mark = np.zeros(n + 1, dtype=np.int32)
-    spots = np.concatenate([np.asarray(p, dtype=np.int64) + b for p, b in zip(at, begins)])
-    lows = np.concatenate([np.maximum(np.asarray(p, dtype=np.int64) - (span - shingle), 0) + b for p, b in zip(at, begins)])
-    np.add.at(mark, lows, 1)
-    np.add.at(mark, spots + 1, -1)
-    start = np.nonzero((np.cumsum(mark)[:paragraphs] > 0) & (np.arange(paragraphs) + span <= end[:paragraphs]))[0]
-    h = Rolling(codes).windows(span)[start]
-    doc = np.searchsorted(begins, start, side="right") - 1
-    return doc, start - begins[doc], h.view(np.int64)
-
-
-def _candidates(docs: DataFrame, span: int, shingle: int | None) -> DataFrame:
-    """``h``, ``id``, ``at``: the paragraphs that hold a shingle which is an anchor of another document too."""
-    shingle = shingle or max(1, round(span * SHINGLE_SHARE))
-    texts = docs.where(F.col("id").isNotNull() & (F.char_length("text") >= span)).select("id", "text")
-    out = f"h bigint, id {docs.schema['id'].dataType.simpleString()}, at int"
-
-    def emit(ids, doc, at, h):
-        return pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["h", "id", "at"])
+        return dict.fromkeys(("doc", "at", "h", "f", "before", "after"), np.empty(0, dtype=np.int64))
+    side = span - shingle
+    roll = Rolling(codes)
+    h = roll.windows(shingle)
+    least = _slide(h, side + 1, np.minimum)  # of the stretch that starts here
+    stretches = n - span + 1
+    whole = np.arange(stretches) + span <= end[:stretches]
+    # a shingle is an anchor if it is the least of one of the whole stretches that start up to ``side`` before it
+    claimed = np.concatenate([np.zeros(side, dtype=np.uint64), np.where(whole, least[:stretches], 0), np.zeros(side, dtype=np.uint64)])
+    spot = np.nonzero(_slide(claimed, side + 1, np.maximum) == h)[0]
+    spot = spot[h[spot] > 0]
+    doc = np.searchsorted(begins, spot, side="right") - 1
+    at = spot - begins[doc]
+    before, after = np.minimum(at, side), np.minimum(end[spot] - spot - shingle, side)
+    return {"doc": doc, "at": at, "h": h[spot].view(np.int64), "f": _fingerprints(roll, spot, before, after, shingle), "before": before, "after": after}
+
+
+def _text_rows(docs: DataFrame, span: int) -> DataFrame:
+    return docs.where(F.col("id").isNotNull() & (F.char_length("text") >= span)).select("id", "text")
+
+
+def _anchors(docs: DataFrame, span: int, shingle: int, columns: list[str]) -> DataFrame:
+    """``id`` and the named columns of every anchor."""
+    kind = docs.schema["id"].dataType.simpleString()
+    out = ", ".join([f"id {kind}", *[f"{c} {'bigint' if c in 'hf' else 'int'}" for c in columns]])
 
     def find(batches):
         for b in batches:
             text = b.column(1).to_pylist()
             for i, j in _batches(text):
-                yield emit(b.column(0).slice(i, j - i), *anchors(text[i:j], span, shingle))
-
-    def verify(batches):
-        for b in batches:
-            text, spots = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, j in _batches(text):
-                yield emit(b.column(0).slice(i, j - i), *stretches(text[i:j], spots[i:j], span, shingle))
+                a = anchors(text[i:j], span, shingle)
+                cols = [pa.array(a[c] if c in "hf" else a[c].astype(np.int32)) for c in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(a["doc"])), *cols], names=["id", *columns])
 
-    colliding = _shared(texts.mapInArrow(find, out)).groupBy("id").agg(F.collect_list("at").alias("spots"))
-    return texts.join(colliding, "id").select("id", "text", "spots").mapInArrow(verify, out)
+    return _text_rows(docs, span).mapInArrow(find, out)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose ``h`` occurs with more than one id."""
-    w = Window.partitionBy("h")
-    return rows.withColumns({"_lo": F.min("id").over(w), "_hi": F.max("id").over(w)}).where("_lo < _hi").drop("_lo", "_hi")
+def colliding(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
+    """``id``, ``h``, ``f``, ``at``, ``before``, ``after`` of all anchors whose hash occurs in more than one document; staged."""
+    shingle = shingle or max(1, round(span * SHINGLE_SHARE))
+    shared = _anchors(docs, span, shingle, ["h"]).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    return stage(_anchors(docs, span, shingle, ["h", "f", "at", "before", "after"]).join(stage(shared, "colliding"), "h", "left_semi"), "paragraphs")
 
 
-def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
-    """``h``, ``id``, ``at``: every stretch of ``span`` characters that occurs in more than one document; staged.
+def _stretches(docs: DataFrame, found: DataFrame, span: int, shingle: int) -> DataFrame:
+    """``h``, ``f``, ``lo``, ``hi``, ``off``, ``s``: the stretches (at ``off`` from the anchor, hash ``s``) of classes that have an anchor in common with others.
 
-    ``docs``: ``id``, ``text``; further columns are ignored.  Rows with a null
-    id or text and texts shorter than ``span`` have none; texts are compared
-    code point by code point, whole; rows with the same id are one document.
+    ``lo`` and ``hi`` are the class's least and greatest document; only
+    stretches that two documents of the anchor's classes have in common; staged.
     """
-    return stage(_shared(_candidates(docs, span, shingle)), "stretches")
+    classes = found.groupBy("h", "f").agg(F.min(F.struct("id", "at", "before", "after")).alias("one"), F.max("id").alias("hi"))
+    mixed = found.groupBy("h").agg(F.min("f").alias("fl"), F.max("f").alias("fh")).where("fl < fh").select("h")
+    one = classes.join(mixed, "h", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("h", "f", F.col("one.id").alias("lo"), "hi", "one.at", "one.before", "one.after")).alias("paragraphs"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def cut(batches):
+        for b in batches:
+            for text, at in zip(b.column(0).to_pylist(), b.column(1)):
+                flat = at.values
+                get = lambda n: flat.field(n).to_numpy()  # noqa: B023, E731
+                spot, before, after = get("at"), get("before"), get("after")
+                roll = Rolling(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+                # an id may have several texts: what isn't this one's is left out
+                n = np.where(spot + shingle + after < len(roll.sums), before + after + shingle - span + 1, 0)
+                n[n > 0] *= _fingerprints(roll, spot[n > 0], before[n > 0], after[n > 0], shingle) == get("f")[n > 0]
+                row = np.repeat(np.arange(len(n)), n)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - before[row]
+                start = spot[row] + off
+                s = roll.between(start, start + span).view(np.int64)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[flat.field(c).take(take) for c in ("h", "f", "lo", "hi")], pa.array(off.astype(np.int32)), pa.array(s)], names=["h", "f", "lo", "hi", "off", "s"])
+
+    texts = _text_rows(docs, span).join(broadcast_if_small(stage(one, "differing")), "id")
+    cuts = texts.select("text", "paragraphs").mapInArrow(cut, f"h bigint, f bigint, lo {kind}, hi {kind}, off int, s bigint")
+    cuts = stage(cuts, "stretches")
+    met = cuts.groupBy("h", "off", "s").agg(F.min("f").alias("fl"), F.max("f").alias("fh"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.bit_xor(F.xxhash64("f")).alias("x"), F.count("*").alias("c"))
+    return cuts.join(met.where("fl < fh and first < last").select("h", "off", "s", "x", "c"), ["h", "off", "s"])
+
+
+def _sums(column: Column) -> list[Column]:
+    return [F.count("*").alias("n"), F.bit_xor(F.xxhash64(column)).alias("s1"), F.bit_xor(F.xxhash64(column, F.lit(1))).alias("s2")]
 
 
 def sharers(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
     """``g``, ``id``, ``n``: every different set ``g`` of (n) documents that have a stretch in common; staged.
 
-    Input as for ``shared_stretches``.  Sets are told apart by their size and
-    two 64-bit sums of hashed ids, so a passage of any length is one set; they
-    come from the same shuffle that brings equal stretches together.
+    ``docs``: ``id``, ``text``; further columns are ignored.  Rows with a null
+    id or text and texts shorter than ``span`` are in none; texts are compared
+    code point by code point, whole; of rows with the same id every text counts
+    for the document.  Sets are told apart by their size and two 64-bit sums of
+    hashed ids, so a passage of any length is one set.
     """
-    w = Window.partitionBy("h")
-    each = _candidates(docs, span, shingle).select("h", "id").repartition("h").distinct()
-    signed = each.select("id", F.struct(F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("id")).over(w).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).over(w).alias("s2")).alias("g"))
-    return stage(signed.where("g.n > 1").distinct().withColumn("n", F.col("g.n")), "sharers")
+    shingle = shingle or max(1, round(span * SHINGLE_SHARE))
+    found = colliding(docs, span, shingle)
+    members = found.select("h", "f", "id").distinct()
+    by_class = members.select("h", F.col("f").alias("x"), F.lit(0).cast("bigint").alias("c"), "id")
+    kinds = _stretches(docs, found, span, shingle).select("h", "f", "x", "c").distinct()
+    by_stretch = members.join(kinds, ["h", "f"]).select("h", "x", "c", "id").distinct()
+    every = stage(by_class.unionByName(by_stretch), "sharing")
+    sums = every.groupBy("h", "x", "c").agg(*_sums(F.col("id"))).where("n > 1")
+    one = sums.groupBy("n", "s1", "s2").agg(F.min(F.struct("h", "x", "c")).alias("k")).select("n", F.struct("n", "s1", "s2").alias("g"), "k.*")
+    return stage(every.join(one, ["h", "x", "c"]).select("g", "id", "n"), "sharers")
 
 
 def sharing_pairs(sets: DataFrame) -> DataFrame:
@@ -197,11 +235,29 @@ def sharing_clusters(sets: DataFrame) -> DataFrame:
     return comp.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster_id"), "cluster_size")
 
 
-def shared_characters(docs: DataFrame, found: DataFrame, span: int = SPAN) -> DataFrame:
-    """``id``, ``chars``, ``shared_chars``, ``share`` of every document: how much of it lies in stretches found elsewhere too."""
-    w = Window.partitionBy("id").orderBy("at")
-    places = found.select("id", "at").distinct()
-    length = places.withColumn("_n", F.least(F.lit(span), F.coalesce(F.lead("at").over(w) - F.col("at"), F.lit(span)))).groupBy("id").agg(F.sum("_n").alias("shared"))
+def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
+    """``id``, ``a``, ``b``: places (from a, before b) that make up all stretches of ``span`` characters that another document has too; may overlap.
+
+    Input as for ``sharers``.
+    """
+    shingle = shingle or max(1, round(span * SHINGLE_SHARE))
+    found = colliding(docs, span, shingle)
+    # a class of several documents shares its whole paragraph, any other what its common stretches cover around the anchor
+    whole = found.groupBy("h", "f").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "f")
+    some = _stretches(docs, found, span, shingle).groupBy("h", "f").agg(F.min("off").alias("u"), (F.max("off") + span).alias("v"))
+    of = some.join(whole.withColumn("all", F.lit(True)), ["h", "f"], "full").select("h", "f", F.when(F.col("all").isNull(), F.col("u")).alias("u"), F.when(F.col("all").isNull(), F.col("v")).alias("v"))
+    start, end = F.coalesce(F.col("u"), -F.col("before")), F.coalesce(F.col("v"), F.col("after") + shingle)
+    return found.join(of, ["h", "f"]).select("id", (F.col("at") + start).alias("a"), (F.col("at") + end).alias("b")).distinct()
+
+
+def shared_characters(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``id``, ``chars``, ``shared_chars``, ``share`` of every document: how much of it lies in the places of ``shared_stretches``.
+
+    Rows without an id are left out; rows with the same id have their places in common.
+    """
+    w = Window.partitionBy("id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.max("b").over(w), F.lit(0))))
+    length = found.withColumn("_n", new).groupBy("id").agg(F.sum("_n").alias("shared"))
     sized = docs.where("id is not null").select("id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars"))
     shared = F.coalesce("shared", F.lit(0).cast("bigint"))
     return sized.join(length, "id", "left").select("id", "chars", shared.alias("shared_chars"), F.coalesce(F.try_divide(shared, F.col("chars")), F.lit(0.0)).alias("share"))

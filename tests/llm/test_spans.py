@@ -45,7 +45,7 @@ def test_pairs_and_coverage_equal_brute_force(spark):
     df = frame(spark, rows)
     found = shared_stretches(df, 20)
     assert {tuple(r) for r in sharing_pairs(sharers(df, 20)).collect()} == pairs
-    got = {r["id"]: (r["chars"], r["shared_chars"]) for r in shared_characters(df, found, 20).collect()}
+    got = {r["id"]: (r["chars"], r["shared_chars"]) for r in shared_characters(df, found).collect()}
     assert got == shared
 
 
@@ -68,6 +68,15 @@ def test_clusters_are_components(spark):
     assert got == {(i, low[i]) for i in members}
 
 
+def test_an_id_with_several_texts(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    p = word(40)
+    rows = [(1, word(30) + p + word(9)), (1, word(50) + p), (2, p + word(30)), (3, word(60)), (3, "x" + word(60) + p[:30])]
+    got = {tuple(r) for r in sharing_pairs(sharers(frame(spark, rows), 24)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_hot_passage_and_empty(spark):
     rows = [(i, f"{i:05d}" * 8 + "the same forty characters in every text!" + f"{i:05d}"[::-1] * 8) for i in range(150)]
     assert sharing_pairs(sharers(frame(spark, rows), 40)).count() == 150 * 149 // 2
