@@ -70,7 +70,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     items, goals = _year_scores(spark, d)
-    return keep_cutoffs(items, goals).withColumnRenamed("grp", "year")
+    return keep_cutoffs(items, goals).drop("rounds").withColumnRenamed("grp", "year")
 
 
 # Problem 3: percentiles of very large numeric columns
