@@ -5,16 +5,17 @@ characters is the least hash among its shingles of ``shingle`` characters; the
 shingles that are the least of some stretch are a text's anchors, about
 2 / (span - shingle + 2) of its characters.  An anchor's paragraph is the anchor
 with ``span - shingle`` characters at either side (less at the ends of the
-text), so it holds every stretch whose MinHash the anchor is.  The bands are
-tuned to one band of one row, the anchor's hash: two paragraphs with a common
-stretch collide with certainty (recall 1), and more bands or rows could only add
-work or lose some.  Colliding paragraphs are joined; verified paragraphs form
-classes and sets, and documents are clustered by components.
+text), so it holds every stretch whose MinHash the anchor is.  Two paragraphs
+with a common stretch have the same anchor and agree in one of two bands: the
+anchor with half a side to its left, or with half a side to its right.  So the
+bands are tuned to a recall of 1 at the least work: they tell apart what shares
+the anchor and little else.  Colliding paragraphs are joined; verified
+paragraphs form classes and sets, and documents are clustered by components.
 
 Verification is exact and needs no pairs.  Paragraphs with the same fingerprint
 (of all characters and the anchor's place) are a class: their Jaccard similarity
-is one.  Where an anchor has several classes, one paragraph of each is cut into
-its stretches, and classes meet in the stretches that they have in common (edit
+is one.  Where several classes of an anchor meet in a band, one paragraph of each is
+cut into its stretches, and classes meet in the stretches that they have in common (edit
 distance zero over ``span`` characters).
 
 The texts are read twice for their anchors, of which only those that collide are
@@ -37,7 +38,7 @@ from framelake.staging import stage
 
 SPAN = 200
 #: Share of the span that a shingle takes: shorter ones make fewer anchors, longer ones collide less by chance.
-SHINGLE_SHARE = 0.3
+SHINGLE_SHARE = 0.6
 #: Characters hashed at once; bounds a worker's memory. A longer text is a batch of its own.
 BATCH_CHARS = 1_000_000
 #: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
@@ -112,11 +113,12 @@ def _fingerprints(roll: Rolling, at: np.ndarray, before: np.ndarray, after: np.n
 
 
 def anchors(texts: list[str], span: int, shingle: int) -> dict[str, np.ndarray]:
-    """Of every anchor: ``doc`` (text number), ``at``, hash ``h``, and of its paragraph the fingerprint ``f`` and what it has ``before`` and ``after`` the anchor."""
+    """Of every anchor: ``doc`` (text number), ``at``, hash ``h``, and of its paragraph the fingerprint ``f``, what it has ``before`` and ``after`` the anchor,
+    and the bands ``bl`` and ``br``: fingerprints of the anchor with half a side, 0 where the text ends before."""
     codes, begins, end = _joined(texts)
     n = len(codes)
     if n < span:
-        return dict.fromkeys(("doc", "at", "h", "f", "before", "after"), np.empty(0, dtype=np.int64))
+        return dict.fromkeys(("doc", "at", "h", "f", "bl", "br", "before", "after"), np.empty(0, dtype=np.int64))
     side = span - shingle
     roll = Rolling(codes)
     h = roll.windows(shingle)
@@ -130,69 +132,76 @@ def anchors(texts: list[str], span: int, shingle: int) -> dict[str, np.ndarray]:
     doc = np.searchsorted(begins, spot, side="right") - 1
     at = spot - begins[doc]
     before, after = np.minimum(at, side), np.minimum(end[spot] - spot - shingle, side)
-    return {"doc": doc, "at": at, "h": h[spot].view(np.int64), "f": _fingerprints(roll, spot, before, after, shingle), "before": before, "after": after}
+    left, right = (side + 1) // 2, side + 1 - (side + 1) // 2
+    bl = np.where(before >= left, roll.between(np.maximum(spot - left, 0), spot + shingle), 0).astype(np.uint64)
+    br = np.where(after >= right, roll.between(spot, np.minimum(spot + shingle + right, n)), 0).astype(np.uint64)
+    return {"doc": doc, "at": at, "h": h[spot].view(np.int64), "bl": bl.view(np.int64), "br": br.view(np.int64), "f": _fingerprints(roll, spot, before, after, shingle), "before": before, "after": after}
 
 
 def _text_rows(docs: DataFrame, span: int) -> DataFrame:
     return docs.where(F.col("id").isNotNull() & (F.char_length("text") >= span)).select("id", "text")
 
 
+_HASHES = ("h", "f", "bl", "br")
+
+
 def _anchors(docs: DataFrame, span: int, shingle: int, columns: list[str]) -> DataFrame:
     """``id`` and the named columns of every anchor."""
     kind = docs.schema["id"].dataType.simpleString()
-    out = ", ".join([f"id {kind}", *[f"{c} {'bigint' if c in 'hf' else 'int'}" for c in columns]])
+    out = ", ".join([f"id {kind}", *[f"{c} {'bigint' if c in _HASHES else 'int'}" for c in columns]])
 
     def find(batches):
         for b in batches:
             text = b.column(1).to_pylist()
             for i, j in _batches(text):
                 a = anchors(text[i:j], span, shingle)
-                cols = [pa.array(a[c] if c in "hf" else a[c].astype(np.int32)) for c in columns]
+                cols = [pa.array(a[c] if c in _HASHES else a[c].astype(np.int32)) for c in columns]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(a["doc"])), *cols], names=["id", *columns])
 
     return _text_rows(docs, span).mapInArrow(find, out)
 
 
 def colliding(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> DataFrame:
-    """``id``, ``h``, ``f``, ``at``, ``before``, ``after`` of all anchors whose hash occurs in more than one document; staged."""
+    """``id``, ``h``, ``f``, ``bl``, ``br``, ``at``, ``before``, ``after`` of all anchors whose hash occurs in more than one document; staged."""
     shingle = shingle or max(1, round(span * SHINGLE_SHARE))
     shared = _anchors(docs, span, shingle, ["h"]).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    return stage(_anchors(docs, span, shingle, ["h", "f", "at", "before", "after"]).join(stage(shared, "colliding"), "h", "left_semi"), "paragraphs")
+    return stage(_anchors(docs, span, shingle, ["h", "f", "bl", "br", "at", "before", "after"]).join(stage(shared, "colliding"), "h", "left_semi"), "paragraphs")
 
 
 def _stretches(docs: DataFrame, found: DataFrame, span: int, shingle: int) -> DataFrame:
-    """``h``, ``f``, ``lo``, ``hi``, ``off``, ``s``: the stretches (at ``off`` from the anchor, hash ``s``) of classes that have an anchor in common with others.
+    """``f``, ``off``, ``x``, ``c``: the stretches (at ``off`` from the anchor) of a class that others of its anchor's classes have too; (x, c) names the set of these classes.
 
-    ``lo`` and ``hi`` are the class's least and greatest document; only
-    stretches that two documents of the anchor's classes have in common; staged.
+    A stretch belongs to the anchor that is its MinHash, so each is looked at once.
     """
-    classes = found.groupBy("h", "f").agg(F.min(F.struct("id", "at", "before", "after")).alias("one"), F.max("id").alias("hi"))
-    mixed = found.groupBy("h").agg(F.min("f").alias("fl"), F.max("f").alias("fh")).where("fl < fh").select("h")
-    one = classes.join(mixed, "h", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("h", "f", F.col("one.id").alias("lo"), "hi", "one.at", "one.before", "one.after")).alias("paragraphs"))
-    kind = docs.schema["id"].dataType.simpleString()
+    classes = stage(found.groupBy("f", "h", "bl", "br").agg(F.min(F.struct("id", "at", "before", "after")).alias("one")), "classes")
+    # classes with a stretch in common agree in a band
+    bands = classes.select("h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("bl").alias("b")), F.struct(F.lit(1).alias("side"), F.col("br").alias("b")))).alias("x"), "f").select("h", "x.side", "x.b", "f").where("b != 0")
+    met = bands.groupBy("h", "side", "b").agg(F.min("f").alias("fl"), F.max("f").alias("fh")).where("fl < fh")
+    mixed = bands.join(met, ["h", "side", "b"], "left_semi").select("f").distinct()
+    one = classes.join(mixed, "f", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("f", "one.at", "one.before", "one.after")).alias("paragraphs"))
 
     def cut(batches):
         for b in batches:
             for text, at in zip(b.column(0).to_pylist(), b.column(1)):
                 flat = at.values
-                get = lambda n: flat.field(n).to_numpy()  # noqa: B023, E731
-                spot, before, after = get("at"), get("before"), get("after")
+                f, spot, before, after = (flat.field(n).to_numpy() for n in ("f", "at", "before", "after"))
                 roll = Rolling(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
                 # an id may have several texts: what isn't this one's is left out
                 n = np.where(spot + shingle + after < len(roll.sums), before + after + shingle - span + 1, 0)
-                n[n > 0] *= _fingerprints(roll, spot[n > 0], before[n > 0], after[n > 0], shingle) == get("f")[n > 0]
+                n[n > 0] *= _fingerprints(roll, spot[n > 0], before[n > 0], after[n > 0], shingle) == f[n > 0]
                 row = np.repeat(np.arange(len(n)), n)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - before[row]
+                h = roll.windows(shingle)
+                mine = _slide(h, span - shingle + 1, np.minimum)[spot[row] + off] == h[spot[row]]
+                row, off = row[mine], off[mine]
                 start = spot[row] + off
-                s = roll.between(start, start + span).view(np.int64)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*[flat.field(c).take(take) for c in ("h", "f", "lo", "hi")], pa.array(off.astype(np.int32)), pa.array(s)], names=["h", "f", "lo", "hi", "off", "s"])
+                key = _mix(roll.between(start, start + span) ^ off.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f[row]), pa.array(off.astype(np.int32)), pa.array(key)], names=["f", "off", "s"])
 
     texts = _text_rows(docs, span).join(broadcast_if_small(stage(one, "differing")), "id")
-    cuts = texts.select("text", "paragraphs").mapInArrow(cut, f"h bigint, f bigint, lo {kind}, hi {kind}, off int, s bigint")
-    cuts = stage(cuts, "stretches")
-    met = cuts.groupBy("h", "off", "s").agg(F.min("f").alias("fl"), F.max("f").alias("fh"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.bit_xor(F.xxhash64("f")).alias("x"), F.count("*").alias("c"))
-    return cuts.join(met.where("fl < fh and first < last").select("h", "off", "s", "x", "c"), ["h", "off", "s"])
+    cuts = stage(texts.select("text", "paragraphs").mapInArrow(cut, "f bigint, off int, s bigint"), "stretches")
+    sets = cuts.groupBy("s").agg(F.bit_xor(F.xxhash64("f")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    return cuts.join(sets, "s").select("f", "off", "x", "c")
 
 
 def _sums(column: Column) -> list[Column]:
@@ -210,14 +219,14 @@ def sharers(docs: DataFrame, span: int = SPAN, shingle: int | None = None) -> Da
     """
     shingle = shingle or max(1, round(span * SHINGLE_SHARE))
     found = colliding(docs, span, shingle)
-    members = found.select("h", "f", "id").distinct()
-    by_class = members.select("h", F.col("f").alias("x"), F.lit(0).cast("bigint").alias("c"), "id")
-    kinds = _stretches(docs, found, span, shingle).select("h", "f", "x", "c").distinct()
-    by_stretch = members.join(kinds, ["h", "f"]).select("h", "x", "c", "id").distinct()
+    members = found.select("f", "id").distinct()
+    by_class = members.select(F.col("f").alias("x"), F.lit(0).cast("bigint").alias("c"), "id")
+    kinds = _stretches(docs, found, span, shingle).select("f", "x", "c").distinct()
+    by_stretch = members.join(kinds, "f").select("x", "c", "id").distinct()
     every = stage(by_class.unionByName(by_stretch), "sharing")
-    sums = every.groupBy("h", "x", "c").agg(*_sums(F.col("id"))).where("n > 1")
-    one = sums.groupBy("n", "s1", "s2").agg(F.min(F.struct("h", "x", "c")).alias("k")).select("n", F.struct("n", "s1", "s2").alias("g"), "k.*")
-    return stage(every.join(one, ["h", "x", "c"]).select("g", "id", "n"), "sharers")
+    sums = every.groupBy("x", "c").agg(*_sums(F.col("id"))).where("n > 1")
+    one = sums.groupBy("n", "s1", "s2").agg(F.min(F.struct("x", "c")).alias("k")).select("n", F.struct("n", "s1", "s2").alias("g"), "k.*")
+    return stage(every.join(one, ["x", "c"]).select("g", "id", "n"), "sharers")
 
 
 def sharing_pairs(sets: DataFrame) -> DataFrame:
@@ -243,11 +252,13 @@ def shared_stretches(docs: DataFrame, span: int = SPAN, shingle: int | None = No
     shingle = shingle or max(1, round(span * SHINGLE_SHARE))
     found = colliding(docs, span, shingle)
     # a class of several documents shares its whole paragraph, any other what its common stretches cover around the anchor
-    whole = found.groupBy("h", "f").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "f")
-    some = _stretches(docs, found, span, shingle).groupBy("h", "f").agg(F.min("off").alias("u"), (F.max("off") + span).alias("v"))
-    of = some.join(whole.withColumn("all", F.lit(True)), ["h", "f"], "full").select("h", "f", F.when(F.col("all").isNull(), F.col("u")).alias("u"), F.when(F.col("all").isNull(), F.col("v")).alias("v"))
+    classes = found.groupBy("f").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    common = stage(_stretches(docs, found, span, shingle).groupBy("f", "x", "c").agg(F.min("off").alias("u"), (F.max("off") + span).alias("v")), "common")
+    several = common.join(classes, "f").groupBy("x", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("x", "c")
+    some = common.join(several, ["x", "c"], "left_semi").groupBy("f").agg(F.min("u").alias("u"), F.max("v").alias("v"))
+    of = some.join(classes.where("lo < hi").select("f", F.lit(True).alias("all")), "f", "full").select("f", F.when(F.col("all").isNull(), F.col("u")).alias("u"), F.when(F.col("all").isNull(), F.col("v")).alias("v"))
     start, end = F.coalesce(F.col("u"), -F.col("before")), F.coalesce(F.col("v"), F.col("after") + shingle)
-    return found.join(of, ["h", "f"]).select("id", (F.col("at") + start).alias("a"), (F.col("at") + end).alias("b")).distinct()
+    return found.join(of, "f").select("id", (F.col("at") + start).alias("a"), (F.col("at") + end).alias("b")).distinct()
 
 
 def shared_characters(docs: DataFrame, found: DataFrame) -> DataFrame:
