@@ -1,10 +1,11 @@
 """Points in regions by crossing parity, and points within great-circle distance of places.
 
 A polygon's edges are binned into latitude strips (and the polygon's longitude
-range into columns) of a grid whose cell size follows the polygon's size, so
-that a polygon takes a bounded number of cells.  Points meet the edges of their
-cell only; a ray to the east that crosses an odd number of a polygon's edges
-starts inside.  Edges own their lower end (so a ray through a vertex counts
+range into columns) of a grid whose cells follow the polygon's size and, in
+latitude, the root of the number of its edges.  A row of the index holds at most
+``CHUNK`` edges.  Points meet the edges of their cell only; crossings of a ray
+to the east are counted in each row, summed by point and polygon where a
+polygon has several rows in a cell, and an odd number means inside.  Edges own their lower end (so a ray through a vertex counts
 once) and a point on an edge is inside.
 """
 
@@ -15,12 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.physical import broadcast_if_small
+from framelake.physical import broadcast_if_light, broadcast_if_small
 from framelake.staging import stage
 
 EARTH_M = 6_371_000.0
 #: Grid sizes are 180 / 2^level degrees; neighbouring sizes differ by 2^3.
-LEVELS = (0, 3, 6, 9, 12, 15)
+LEVELS = (0, 3, 6, 9, 12, 15, 18)
+#: Edges in a row of the index.
+CHUNK = 64
 #: Strips in which a circle's outline is drawn.
 STRIPS = 16
 
@@ -32,9 +35,9 @@ def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radiu
     return 2 * radius_m * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def _level(extent: Column) -> Column:
-    """The finest level at which ``extent`` degrees span at most eight cells."""
-    return reduce(lambda rest, lv: F.when(extent <= 8 * 180.0 / (1 << lv), F.lit(lv)).otherwise(rest), LEVELS, F.lit(0))
+def _level(extent: Column, cells: Column) -> Column:
+    """The finest level at which ``extent`` degrees span at most about ``cells`` cells."""
+    return reduce(lambda rest, lv: F.when(extent <= cells * 180.0 / (1 << lv), F.lit(lv)).otherwise(rest), LEVELS, F.lit(0))
 
 
 def _cell(x: Column, level: Column) -> Column:
@@ -42,19 +45,32 @@ def _cell(x: Column, level: Column) -> Column:
 
 
 def edge_index(edges: DataFrame) -> DataFrame:
-    """``ly``, ``lx``, ``cy``, ``cx``, ``region``, ``piece``, ``edges``: a polygon's edges by grid cell.
+    """``ly``, ``lx``, ``cy``, ``cx``, ``region``, ``piece``, ``chunks``, ``edges``: a polygon's edges by grid cell, in ``chunks`` rows of at most ``CHUNK``.
 
     ``edges``: ``region``, ``piece`` (polygons of one region, which must not
-    overlap), ``x0``, ``y0``, ``x1``, ``y1`` in degrees.
+    overlap), ``x0``, ``y0``, ``x1``, ``y1`` in degrees.  Edges with a null or
+    NaN are left out.
     """
-    box = edges.groupBy("region", "piece").agg(F.min(F.least("x0", "x1")).alias("w"), F.max(F.greatest("x0", "x1")).alias("e"), F.min(F.least("y0", "y1")).alias("s"), F.max(F.greatest("y0", "y1")).alias("n"))
-    box = box.withColumn("ly", _level(F.col("n") - F.col("s"))).withColumn("lx", _level(F.col("e") - F.col("w")))
-    strips = edges.join(box, ["region", "piece"]).withColumn("cy", F.explode(F.sequence(_cell(F.least("y0", "y1"), F.col("ly")), _cell(F.greatest("y0", "y1"), F.col("ly")))))
-    rows = strips.groupBy("region", "piece", "ly", "lx", "cy", "w", "e").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("edges"))
-    return rows.withColumn("cx", F.explode(F.sequence(_cell(F.col("w"), F.col("lx")), _cell(F.col("e"), F.col("lx"))))).select("ly", "lx", "cy", "cx", "region", "piece", "edges")
+    edges = edges.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("x0", "y0", "x1", "y1")))
+    box = edges.groupBy("region", "piece").agg(F.min(F.least("x0", "x1")).alias("w"), F.max(F.greatest("x0", "x1")).alias("e"), F.min(F.least("y0", "y1")).alias("s"), F.max(F.greatest("y0", "y1")).alias("n"), F.count("*").alias("m"))
+    strips = F.greatest(F.lit(8.0), 2 * F.sqrt("m"))
+    box = box.withColumn("ly", _level(F.col("n") - F.col("s"), strips)).withColumn("lx", _level(F.col("e") - F.col("w"), F.lit(8.0)))
+    rows = edges.join(box, ["region", "piece"]).withColumn("cy", F.explode(F.sequence(_cell(F.least("y0", "y1"), F.col("ly")), _cell(F.greatest("y0", "y1"), F.col("ly")))))
+    key = ["region", "piece", "ly", "lx", "cy"]
+    many = rows.groupBy(*key).agg(F.count("*").alias("_m")).where(F.col("_m") > CHUNK)
+    # a strip with many edges is cut at random into pieces of at most about half a chunk, and these are cut to size
+    rows = rows.join(many, key, "left").withColumn("_k", F.coalesce(F.ceil(F.col("_m") / (CHUNK // 2)), F.lit(1)))
+    rows = rows.withColumn("_p", F.pmod(F.xxhash64("x0", "y0", "x1", "y1"), F.col("_k")))
+    rows = rows.groupBy(*key, "w", "e", "_p").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_edges"))
+    rows = rows.withColumn("edges", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_edges") - 1) / CHUNK).cast("int")), lambda i: F.slice("_edges", i * CHUNK + 1, CHUNK))))
+    chunks = rows.groupBy(*key).agg(F.count("*").alias("chunks"))
+    rows = rows.join(chunks, key)
+    return rows.withColumn("cx", F.explode(F.sequence(_cell(F.col("w"), F.col("lx")), _cell(F.col("e"), F.col("lx"))))).select("ly", "lx", "cy", "cx", "region", "piece", "chunks", "edges")
+
+
+def _crossings(edges: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """How many edges a ray to the east from (x, y) crosses, and whether the point lies on one."""
 
-
-def _inside(edges: Column, x: Column, y: Column) -> Column:
     def meets(e):
         return e.x0 + (y - e.y0) * F.try_divide(e.x1 - e.x0, e.y1 - e.y0)
 
@@ -65,27 +81,38 @@ def _inside(edges: Column, x: Column, y: Column) -> Column:
         level = (e.y0 == e.y1) & (y == e.y0) & x.between(F.least(e.x0, e.x1), F.greatest(e.x0, e.x1))
         return level | (y.between(F.least(e.y0, e.y1), F.greatest(e.y0, e.y1)) & (e.y0 != e.y1) & (x == meets(e)))
 
-    return F.exists(edges, on) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+    return F.size(F.filter(edges, crossed)), F.exists(edges, on)
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of ``points`` (``x``, ``y`` degrees, further columns but ``region``) with ``region`` for each polygon around them.
 
-    The edge index is broadcast if a count finds it small; otherwise points
-    and index are shuffled by cell, where adaptive execution splits hot cells.
-    A null or NaN coordinate is in no region.
+    The edge index is broadcast if its bytes are counted and few; otherwise
+    points and index are shuffled by cell, where adaptive execution splits hot
+    cells.  A null or NaN coordinate is in no region.
     """
     grid = ("ly", "lx", "cy", "cx")
     index = stage(edge_index(edges), "edge-index")
-    sizes = [(r["ly"], r["lx"]) for r in index.select("ly", "lx").distinct().collect()]  # at most len(LEVELS)^2
-    if not sizes:
+    seen = index.groupBy("ly", "lx").agg(F.max("chunks").alias("chunks")).collect()  # at most len(LEVELS)^2
+    if not seen:
         return points.select("*", F.lit(None).cast(edges.schema["region"].dataType).alias("region")).limit(0)
-    cells = F.array(*[F.struct(F.lit(ly).alias("ly"), F.lit(lx).alias("lx"), _cell(F.col("y"), F.lit(ly)).alias("cy"), _cell(F.col("x"), F.lit(lx)).alias("cx")) for ly, lx in sizes])
+    cells = F.array(*[F.struct(F.lit(r["ly"]).alias("ly"), F.lit(r["lx"]).alias("lx"), _cell(F.col("y"), F.lit(r["ly"])).alias("cy"), _cell(F.col("x"), F.lit(r["lx"])).alias("cx")) for r in seen])
     usable = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    several = max(r["chunks"] for r in seen) > 1
+    if several:
+        usable = usable.withColumn("_point", F.monotonically_increasing_id())
     asked = usable.withColumn("_c", F.explode(cells)).withColumns({f"_{k}": F.col(f"_c.{k}") for k in grid}).drop("_c")
-    there = broadcast_if_small(index).withColumnsRenamed({k: f"_{k}" for k in (*grid, "edges")}).drop("piece")
-    met = asked.join(there, [f"_{k}" for k in grid]).where(_inside(F.col("_edges"), F.col("x"), F.col("y")))
-    return met.drop(*[f"_{k}" for k in (*grid, "edges")])
+    there = broadcast_if_light(index, 100 + 32 * F.size("edges")).withColumnsRenamed({k: f"_{k}" for k in (*grid, "edges", "piece", "chunks")})
+    n, on = _crossings(F.col("_edges"), F.col("x"), F.col("y"))
+    met = asked.join(there, [f"_{k}" for k in grid]).withColumns({"_n": n, "_on": on}).drop("_edges")
+    inside = F.col("_on") | (F.col("_n") % 2 == 1)
+    keep = [*points.columns, "region"]
+    if not several:
+        return met.where(inside).select(*keep)
+    # crossings of a point and a polygon from several rows of the index
+    first = [F.first(c).alias(c) for c in points.columns]
+    summed = met.where("_chunks > 1").groupBy("_point", "region", "_piece").agg(*first, F.sum("_n").alias("_n"), F.max("_on").alias("_on"))
+    return met.where("_chunks = 1").where(inside).select(*keep).unionByName(summed.where(inside).select(*keep))
 
 
 def circle_edges(circles: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sessions of activity parted by inactivity gaps.
 
 Method: occupancy bitmaps.  Every entity's time line is cut into buckets of
-2^15 seconds; the JVM aggregates each bucket to a bitmap with one bit per
-second, combining before the shuffle.  A bitmap is closed morphologically by
+2^15 seconds with one bit per second.  The JVM aggregates the bits of 64 seconds
+to a word, combining before the shuffle, and only occupied words are kept, so a
+lone event costs a word and not a bucket.  A bucket's bitmap is closed morphologically by
 OR-ing it with copies of itself shifted by 1, 2, 4, ... up to the gap; the runs
 of the closed bitmap are the bucket's sessions, whose ends are trimmed by the
 gap.  Runs are then stitched across buckets: within chunks of buckets first,
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,21 +65,25 @@ def closed_runs(bitmaps: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray,
     return row, start, end - (reach - 1)
 
 
-def _bucket_runs(bitmaps: DataFrame, gap: int) -> DataFrame:
-    entity = bitmaps.schema["entity"].dataType
+def _bucket_runs(words: DataFrame, gap: int) -> DataFrame:
+    """Runs of the closed bitmaps; ``words``: ``entity``, ``bucket`` and its occupied ``words`` (place in the bucket, bits)."""
+    entity = words.schema["entity"].dataType
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                raw = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint64).reshape(part.num_rows, SECONDS // 64)
+                flat = part.column(2).flatten()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())
+                raw = np.zeros((part.num_rows, SECONDS // 64), dtype=np.uint64)
+                raw[row, flat.field("place").to_numpy()] = flat.field("bits").to_numpy().view(np.uint64)
                 row, start, end = closed_runs(raw, gap)
                 bucket = part.column(1).to_numpy(zero_copy_only=False)[row]
                 zero = bucket << BITS
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(zero + start), pa.array(zero + end)], names=["entity", "bucket", "start", "end"])
 
     schema = T.StructType([T.StructField("entity", entity), *[T.StructField(c, T.LongType()) for c in ("bucket", "start", "end")]])
-    return bitmaps.mapInArrow(run, schema)
+    return words.mapInArrow(run, schema)
 
 
 def _stitch(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -101,9 +107,11 @@ def sessions(events: DataFrame, gap: int, counts: bool = True) -> DataFrame:
     if gap < 1:
         raise ValueError("gap must be at least 1")
     usable = events.where("entity is not null and t is not null").withColumn("bucket", F.shiftright("t", BITS))
-    bitmaps = usable.groupBy("entity", "bucket").agg(F.bitmap_construct_agg(F.col("t").bitwiseAND(SECONDS - 1)).alias("bits"))
-    # bitmaps compress to next to nothing, so adaptive execution would leave them all to one task
-    runs = _bucket_runs(bitmaps.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))), gap)
+    bit = F.expr("shiftleft(1L, cast(t & 63 as int))")
+    words = usable.groupBy("entity", "bucket", F.shiftright("t", 6).bitwiseAND(SECONDS // 64 - 1).cast("int").alias("place")).agg(F.bit_or(bit).alias("bits"))
+    buckets = words.groupBy("entity", "bucket").agg(F.collect_list(F.struct("place", "bits")).alias("words"))
+    # few bytes make many runs, so the parts stay as they are, also under adaptive execution
+    runs = _bucket_runs(buckets.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))), gap)
     if counts:
         each = usable.groupBy("entity", "bucket", "t").agg(F.count_distinct("id").alias("n"))
         runs = stage(runs, "runs")

@@ -10,6 +10,9 @@ from framelake.staging import stage
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bytes up to which a side with rows of any length is broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if ``df`` has at most ``max_rows`` rows.
@@ -21,6 +24,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def broadcast_if_light(df: DataFrame, size: Column, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if ``size``, the bytes of a row, sums to at most ``max_bytes``; ``df`` should be a staged table."""
+    held = df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= max_bytes else df
+
+
 def range_sorted(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Range-partition and sort ``df``; adds ``_part`` and ``_row`` (position in the part).
 

@@ -108,3 +108,27 @@ def test_polygons_vertices_and_edges(spark):
     pts = spark.createDataFrame([(float(x), float(y)) for x, y in cases], "x double, y double").withColumns({c: F.lit(1) for c in ("ly", "cx", "edges", "piece", "x0")})
     got = {(r["x"], r["y"]) for r in points_in_polygons(pts, e).collect()}
     assert got == {k for k, v in cases.items() if v}
+
+
+def test_polygon_of_many_edges(spark):
+    rnd = random.Random(4)
+    # a comb: all its teeth cross every strip, so a cell holds many rows of the index; and a ring of small steps
+    teeth = [(i * 0.01, 10.0 if i % 2 else -10.0) for i in range(1, 401)]
+    comb = [(0.0, -11.0), *teeth, (4.02, -11.0)]
+    ring = [(20 + math.cos(a), math.sin(a)) for a in (2 * math.pi * i / 3000 for i in range(3000))]
+    edges = [(name, 0, *p, *q) for name, pts in (("comb", comb), ("ring", ring)) for p, q in zip(pts, pts[1:] + pts[:1])]
+    points = [(i, rnd.uniform(-0.1, 4.2), rnd.uniform(-12, 12)) for i in range(200)] + [(i, rnd.uniform(18.8, 21.2), rnd.uniform(-1.2, 1.2)) for i in range(200, 300)]
+    points += [points[0], (400, None, 1.0), (401, 1.0, math.nan)]
+
+    def inside(name, x, y):
+        n = 0
+        for r, _, x0, y0, x1, y1 in edges:
+            if r == name and min(y0, y1) <= y < max(y0, y1):
+                n += x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0))
+        return n % 2 == 1
+
+    want = sorted((i, name) for i, x, y in points if x is not None and not math.isnan(y) for name in ("comb", "ring") if inside(name, x, y))
+    e = spark.createDataFrame([*edges, ("bad", 0, 1.0, None, 2.0, 3.0)], "region string, piece int, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame(points, "id bigint, x double, y double").withColumns({"edges": F.lit(1), "piece": F.lit(2), "chunks": F.lit(3)})
+    got = points_in_polygons(p, e)
+    assert sorted((r["id"], r["region"]) for r in got.collect()) == want and got.columns == [*p.columns, "region"]
