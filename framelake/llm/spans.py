@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.pairing import pairs_within
-from framelake.physical import broadcast_if_small
+from framelake.physical import broadcast_if_light
 from framelake.staging import stage
 
 SPAN = 200
@@ -198,7 +198,7 @@ def _stretches(docs: DataFrame, found: DataFrame, span: int, shingle: int) -> Da
                 key = _mix(roll.between(start, start + span) ^ off.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f[row]), pa.array(off.astype(np.int32)), pa.array(key)], names=["f", "off", "s"])
 
-    texts = _text_rows(docs, span).join(broadcast_if_small(stage(one, "differing")), "id")
+    texts = _text_rows(docs, span).join(broadcast_if_light(stage(one, "differing"), 100 + 32 * F.size("paragraphs")), "id")
     cuts = stage(texts.select("text", "paragraphs").mapInArrow(cut, "f bigint, off int, s bigint"), "stretches")
     sets = cuts.groupBy("s").agg(F.bit_xor(F.xxhash64("f")).alias("x"), F.count("*").alias("c")).where("c > 1")
     return cuts.join(sets, "s").select("f", "off", "x", "c")
