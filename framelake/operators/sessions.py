@@ -1,9 +1,9 @@
 """Sessions of activity parted by inactivity gaps.
 
 Method: occupancy bitmaps.  Every entity's time line is cut into buckets of
-2^15 seconds with one bit per second.  The JVM aggregates the bits of 64 seconds
-to a word, combining before the shuffle, and only occupied words are kept, so a
-lone event costs a word and not a bucket.  A bucket's bitmap is closed morphologically by
+2^15 seconds.  The JVM counts the events of each occupied second, combining
+before the shuffle, so a lone event costs a row and not a bucket.  A task sets a
+bucket's seconds in a bitmap, which is closed morphologically by
 OR-ing it with copies of itself shifted by 1, 2, 4, ... up to the gap; the runs
 of the closed bitmap are the bucket's sessions, whose ends are trimmed by the
 gap.  Runs are then stitched across buckets: within chunks of buckets first,
@@ -65,25 +65,29 @@ def closed_runs(bitmaps: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray,
     return row, start, end - (reach - 1)
 
 
-def _bucket_runs(words: DataFrame, gap: int) -> DataFrame:
-    """Runs of the closed bitmaps; ``words``: ``entity``, ``bucket`` and its occupied ``words`` (place in the bucket, bits)."""
-    entity = words.schema["entity"].dataType
+def _bucket_runs(buckets: DataFrame, gap: int) -> DataFrame:
+    """Runs of the closed bitmaps and their events; ``buckets``: ``entity``, ``bucket`` and its occupied ``seconds`` (``at`` in the bucket, ``n`` events)."""
+    entity = buckets.schema["entity"].dataType
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
+            for first in range(0, b.num_rows, SLICE):
+                part = b.slice(first, SLICE)
                 flat = part.column(2).flatten()
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())
-                raw = np.zeros((part.num_rows, SECONDS // 64), dtype=np.uint64)
-                raw[row, flat.field("place").to_numpy()] = flat.field("bits").to_numpy().view(np.uint64)
-                row, start, end = closed_runs(raw, gap)
+                place = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy()) * SECONDS + flat.field("at").to_numpy()
+                bitmaps = np.zeros(part.num_rows * (SECONDS // 64), dtype=np.uint64)
+                np.bitwise_or.at(bitmaps, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+                row, start, end = closed_runs(bitmaps.reshape(part.num_rows, -1), gap)
+                # runs come in order and every second is in one: join the counts by place
+                of = np.searchsorted(row * SECONDS + start, place, side="right") - 1
+                n = np.zeros(len(row), dtype=np.int64)
+                np.add.at(n, of, flat.field("n").to_numpy())
                 bucket = part.column(1).to_numpy(zero_copy_only=False)[row]
                 zero = bucket << BITS
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(zero + start), pa.array(zero + end)], names=["entity", "bucket", "start", "end"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(zero + start), pa.array(zero + end), pa.array(n)], names=["entity", "bucket", "start", "end", "events"])
 
-    schema = T.StructType([T.StructField("entity", entity), *[T.StructField(c, T.LongType()) for c in ("bucket", "start", "end")]])
-    return words.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("entity", entity), *[T.StructField(c, T.LongType()) for c in ("bucket", "start", "end", "events")]])
+    return buckets.mapInArrow(run, schema)
 
 
 def _stitch(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -95,30 +99,21 @@ def _stitch(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return merged.withColumn("edge", (F.col("_no") == 1) | (F.col("_no") == F.max("_no").over(Window.partitionBy(*keys)))).drop("_no")
 
 
-def sessions(events: DataFrame, gap: int, counts: bool = True) -> DataFrame:
+def sessions(events: DataFrame, gap: int) -> DataFrame:
     """``entity``, ``start``, ``end``, ``duration``, ``events`` of every session (seconds, bigint).
 
-    ``events``: ``entity``, ``t`` bigint seconds and, with ``counts``, ``id``;
-    further columns are ignored.  A session ends where the entity's next event
-    is more than ``gap`` (at least 1) seconds later.  Rows with a null entity or
-    time don't count; an id counts once at each time (a null id never).  Without
-    ``counts`` the column ``events`` is null.  An empty table gives no rows.
+    ``events``: ``entity``, ``t`` bigint seconds, ``id``; further columns are
+    ignored.  A session ends where the entity's next event is more than ``gap``
+    (at least 1) seconds later.  Rows with a null entity or time don't count; an
+    id counts once at each time (a null id never, but its time does).  An empty
+    table gives no rows.
     """
     if gap < 1:
         raise ValueError("gap must be at least 1")
-    usable = events.where("entity is not null and t is not null").withColumn("bucket", F.shiftright("t", BITS))
-    bit = F.expr("shiftleft(1L, cast(t & 63 as int))")
-    words = usable.groupBy("entity", "bucket", F.shiftright("t", 6).bitwiseAND(SECONDS // 64 - 1).cast("int").alias("place")).agg(F.bit_or(bit).alias("bits"))
-    buckets = words.groupBy("entity", "bucket").agg(F.collect_list(F.struct("place", "bits")).alias("words"))
-    # few bytes make many runs, so the parts stay as they are, also under adaptive execution
-    runs = _bucket_runs(buckets.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))), gap)
-    if counts:
-        each = usable.groupBy("entity", "bucket", "t").agg(F.count_distinct("id").alias("n"))
-        runs = stage(runs, "runs")
-        at = (F.col("r.entity") == F.col("c.entity")) & (F.col("r.bucket") == F.col("c.bucket")) & F.col("t").between(F.col("start"), F.col("end"))
-        runs = runs.alias("r").join(each.alias("c"), at).groupBy("r.entity", "r.bucket", "start", "end").agg(F.sum("n").alias("events"))
-    else:
-        runs = runs.withColumn("events", F.lit(None).cast("bigint"))
+    usable = events.where("entity is not null and t is not null").select("entity", "t", "id").distinct()
+    counted = usable.groupBy("entity", "t").agg(F.count("id").alias("n"))
+    buckets = counted.groupBy("entity", F.shiftright("t", BITS).alias("bucket")).agg(F.collect_list(F.struct(F.col("t").bitwiseAND(SECONDS - 1).cast("int").alias("at"), "n")).alias("seconds"))
+    runs = _bucket_runs(buckets, gap)
 
     # chunks of 2^shift buckets: at most about 2^16 runs each, then two sessions for each part
     shift = max(0, min(10, (2 * (gap + 1)).bit_length() - 1))
