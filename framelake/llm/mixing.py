@@ -48,18 +48,24 @@ def _due(y: Column, segments: Column) -> Column:
     return F.least(F.lit(1.0), s.t0 + F.coalesce(F.try_divide(2 * dy, s.w0 + root), F.lit(0.0)))
 
 
-def mix_plan(docs: DataFrame, targets: DataFrame, schedules: dict[str, Knots] | None = None, total_tokens: int | None = None, ramp: float = RAMP) -> DataFrame:
+def mix_plan(docs: DataFrame, targets: DataFrame, schedules: dict[str, Knots] | None = None, total_tokens: int | None = None, ramp: float = RAMP, size: str = "all") -> DataFrame:
     """One row per ``mix`` and ``source`` of ``targets``: ``share``, ``repeats``, ``available``, ``demand``, ``take``, ``segments``.
 
-    A mix is as large as all documents of its sources together (or
-    ``total_tokens``); a source is asked for its share of that and gives at
-    most ``repeats`` times its own tokens.
+    With ``size`` "all" a mix is as large as all documents of its sources
+    together; a source is asked for its share of that and gives at most
+    ``repeats`` times its own tokens, so where one is too small the others'
+    shares end up above target.  With "targets" a mix is as large as it can be
+    (but no larger than all documents) while every source that has documents
+    reaches its share of it; only the share of absent sources is missing.  ``total_tokens`` sets the size.
     """
+    if size not in ("all", "targets"):
+        raise ValueError("size must be 'all' or 'targets'")
     have = docs.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("available"))
     ask = targets.where("mix is not null and source is not null and share >= 0 and repeats >= 0").groupBy("mix", "source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
     plan = ask.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0).cast("bigint")))
     w = Window.partitionBy("mix")
-    total = F.lit(total_tokens).cast("bigint") if total_tokens is not None else F.sum("available").over(w)
+    reach = F.min(F.when((F.col("available") > 0) & (F.col("share") > 0), F.col("repeats") * F.col("available") / F.col("share"))).over(w)
+    total = F.lit(total_tokens).cast("bigint") if total_tokens is not None else F.sum("available").over(w) if size == "all" else F.coalesce(F.least(reach, F.sum("available").over(w).cast("double")), F.lit(0.0))
     plan = plan.withColumn("demand", F.col("share") * total).withColumn("take", F.least("demand", F.col("repeats") * F.col("available").cast("double")))
     again = F.col("repeats") > 1
     up, once = F.sum(F.when(again, F.col("share")).otherwise(0.0)).over(w), F.sum(F.when(again, 0.0).otherwise(F.col("share"))).over(w)
@@ -109,6 +115,6 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 3, **how) -> tuple[Data
     all_used = F.sum(F.coalesce("used_tokens", F.lit(0))).over(Window.partitionBy("mix"))
     shares = plan.join(got, ["mix", "source"], "left").select(
         "mix", "source", F.col("share").alias("target_share"), F.col("available").alias("available_tokens"), zero("used_tokens"),
-        F.coalesce(F.try_divide(F.coalesce("used_tokens", F.lit(0)), all_used), F.lit(0.0)).alias("reached_share"), zero("documents"), zero("most_copies"), (F.col("take") < F.col("demand")).alias("short"),
+        F.coalesce(F.try_divide(F.coalesce("used_tokens", F.lit(0)), all_used), F.lit(0.0)).alias("reached_share"), zero("documents"), zero("most_copies"), (F.col("take") < F.col("demand") * (1 - 1e-12)).alias("short"),
     )
     return numbered, shares

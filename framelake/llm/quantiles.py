@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.staging import stage
+
 #: Items of a section at the start; the relative standard error is about 0.13 / SECTION.
 SECTION = 64
 SECTIONS = 3
@@ -125,24 +127,35 @@ def sketch(values: DataFrame, keys: list[str], value: str, seed: int = 7) -> Dat
 
 
 def merge_sketches(parts: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
-    """One sketch per ``keys`` and side from the rows of many (a union of ``sketch`` results)."""
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    """One sketch per ``keys`` and side from the rows of many (a union of ``sketch`` results).
+
+    Sketches are merged in a tree, ``FAN_IN`` at once and as deep as their
+    number asks for, each compacted before the next is added; so no task holds
+    more than one sketch and what it adds.
+    """
+    if "part" not in parts.columns:
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("items"), F.lit(FAN_IN * FAN_IN)).cast("int"))
+    out, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema), parts.columns
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         key = tuple(first[k] for k in keys)
-        pdf = pdf.sort_values(["level", "part"], kind="stable")
+        pdf = pdf.sort_values(["part", "level"], kind="stable")
         s = Compactors(hash((seed, int(first["part"]), len(pdf))) & 0x7FFFFFFF)
-        for h, c, x in zip(pdf["level"], pdf["counter"], pdf["items"]):
-            s.add(int(h), np.asarray(x, dtype=float), int(c))
-        s.squeeze()
-        return pd.DataFrame(list(_levels(keys, key, first["side"], s, int(first["part"]) // FAN_IN)), columns=[*keys, "side", "level", "counter", "items", "part"])
-
-    if "part" not in parts.columns:
-        parts = parts.withColumn("part", F.pmod(F.xxhash64("items"), F.lit(FAN_IN * FAN_IN)).cast("int"))
-        out += ", part int"
-    some = parts.groupBy(*keys, "side", F.expr(f"part div {FAN_IN}").alias("_g")).applyInPandas(merge, out)
-    return some.groupBy(*keys, "side").applyInPandas(merge, out).drop("part")
+        for _, one in pdf.groupby("part", sort=False):
+            for h, c, x in zip(one["level"], one["counter"], one["items"]):
+                s.add(int(h), np.asarray(x, dtype=float), int(c))
+            s.squeeze()
+        return pd.DataFrame(list(_levels(keys, key, first["side"], s, int(first["part"]) // FAN_IN)), columns=names)
+
+    level = stage(parts, "sketches")
+    numbers = level.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
+    while True:
+        merged = level.groupBy(*keys, "side", F.expr(f"part div {FAN_IN}").alias("_g")).applyInPandas(merge, out)
+        numbers = -(-numbers // FAN_IN)
+        if numbers == 1:
+            return merged.drop("part")
+        level = stage(merged, "sketches")
 
 
 def percentiles(sketches: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:

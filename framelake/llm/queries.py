@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.identifiers import hex64, whole_number
@@ -12,7 +12,7 @@ from framelake.llm.cutoffs import keep_cutoffs, kept_items
 from framelake.llm.hamming_pairs import close_groups, close_hashes, close_records, pruning
 from framelake.llm.mixing import mix
 from framelake.llm.packing import fills, pack
-from framelake.llm.quantiles import BOUND, percentiles, sketch
+from framelake.llm.quantiles import BOUND, merge_sketches, percentiles, sketch
 from framelake.llm.spans import shared_characters, shared_stretches, sharers, sharing_clusters, sharing_pairs
 from framelake.llm.tokens import token_counts
 from framelake.llm.topn import top_n
@@ -78,13 +78,13 @@ def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def _measures(spark: SparkSession, d: str) -> DataFrame:
+def _measures(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """``year``, ``metric``, ``v``: the usable measurements, one row per image and metric; images without a year don't count."""
     years = _read(spark, d, "images").select("image_id", whole_number(F.col("year")).alias("year")).where("year > 0").groupBy("image_id").agg(F.min("year").alias("year"))
     ok = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf")), F.col(c))
     metrics = ("sharp_top3", "luma")
     one = _read(spark, d, "technical").groupBy("image_id").agg(*[F.max(ok(c)).alias(c) for c in metrics])
-    return one.join(years, "image_id").select("year", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in metrics])).alias("m")).select("year", "m.*").where("v is not null")
+    return one.join(years, "image_id").select("year", *more, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in metrics])).alias("m")).select("year", *more, "m.*").where("v is not null")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -96,17 +96,30 @@ def p3_sketches(spark: SparkSession, d: str) -> DataFrame:
     return sketch(_measures(spark, d), ["year", "metric"], "v")
 
 
-def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+def _within(values: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:
     """Whether each percentile's true rank lies within the bound, counted over all values."""
-    keys = ["year", "metric"]
-    values = stage(_measures(spark, d), "measures")
-    got = stage(percentiles(sketch(values, keys, "v"), keys, list(SHARES)), "percentiles")
+    got = stage(got, "percentiles")
     ranks = values.join(broadcast_if_small(got), keys).groupBy(*keys, "share", "n").agg(F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
     rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("share") * F.col("n") - 1e-9))
     slack = BOUND * F.least(rank, F.col("n") - rank + 1)
     return ranks.select(*keys, "share", "n", ((F.col("below") + 1 <= rank + slack) & (F.col("upto") >= rank - slack)).alias("within"))
 
 
+def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["year", "metric"]
+    values = stage(_measures(spark, d), "measures")
+    return _within(values, percentiles(sketch(values, keys, "v"), keys, list(SHARES)), keys)
+
+
+def p3_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p3_rank_errors``, of sketches that were made and stored for each day (or none) by itself and merged afterwards."""
+    keys = ["year", "metric"]
+    days = _read(spark, d, "images").groupBy("image_id").agg(F.min(F.substring("capture_time", 1, 10)).alias("day"))
+    values = stage(_measures(spark, d, "image_id").join(days, "image_id").drop("image_id"), "measures")
+    by_day = stage(sketch(values, [*keys, "day"], "v"), "day-sketches")
+    return _within(values, percentiles(merge_sketches(by_day.drop("day"), keys), keys, list(SHARES)), keys)
+
+
 # Problem 6: top N items within every group
 
 
@@ -165,17 +178,53 @@ def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
 # Problem 8: mixing sources to target weights
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    targets = _read(spark, d, "mix_targets").select(F.col("mix_name").alias("mix"), F.lower(F.trim("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
-    return mix(_sized(spark, d), targets)
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "mix_targets").select(F.col("mix_name").alias("mix"), F.lower(F.trim("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats"))
+
+
+_MIXED = {"mix": "mix_name", "id": "doc_id"}
 
 
 def p8_order(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[0].withColumnsRenamed({"mix": "mix_name", "id": "doc_id"})
+    return mix(_sized(spark, d), _targets(spark, d))[0].withColumnsRenamed(_MIXED)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].withColumnsRenamed({"mix": "mix_name"})
+    return mix(_sized(spark, d), _targets(spark, d))[1].withColumnsRenamed(_MIXED)
+
+
+def p8_balanced_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixes in which every source that has documents reaches its share."""
+    return mix(_sized(spark, d), _targets(spark, d), size="targets")[1].withColumnsRenamed(_MIXED)
+
+
+def p8_scheduled_order(spark: SparkSession, d: str) -> DataFrame:
+    """Captions fade out over the training time, letters and series texts come in halfway."""
+    late = [(0.0, 0.0), (0.5, 0.0), (1.0, 1.0)]
+    return mix(_sized(spark, d), _targets(spark, d), schedules={"captions": [(0.0, 1.0), (1.0, 0.0)], "letters": late, "series-texts": late})[0].withColumnsRenamed(_MIXED)
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the order and shares of each mix and source, at both sizes, counted over all documents.
+
+    ``docs`` with tokens in the source, most ``copies`` beyond the cap, whether each source meets its demand to within half
+    its largest document (or gives all it may), and whether the reported tokens are those of the order.
+    """
+    sized, targets = _sized(spark, d), _targets(spark, d)
+    have = sized.where("tokens > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
+    out = None
+    for size in ("all", "targets"):
+        order, shares = mix(sized, targets, size=size)
+        got = order.groupBy("mix", "source").agg(F.sum("tokens").alias("in_order"), F.max("copy").alias("copy"))
+        j = targets.join(shares.drop("target_share"), ["mix", "source"]).join(got, ["mix", "source"], "left").join(have, "source", "left")
+        reach = F.min(F.when(F.col("tokens") > 0, F.col("repeats") * F.col("tokens") / F.col("share"))).over(Window.partitionBy("mix"))
+        every = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy("mix"))
+        demand = F.col("share") * (every if size == "all" else F.least(reach, every.cast("double")))
+        ask = F.least(demand, F.col("repeats") * F.coalesce("tokens", F.lit(0)).cast("double"))
+        met = F.abs(F.col("used_tokens") - ask) <= F.coalesce("largest", F.lit(0)) / 2 + 1e-6
+        j = j.select("mix", "source", F.lit(size).alias("size"), F.coalesce("docs", F.lit(0).cast("bigint")).alias("docs"), (F.coalesce("copy", F.lit(-1)) < F.col("repeats")).alias("capped"), met.alias("met"), (F.coalesce("in_order", F.lit(0)) == F.col("used_tokens")).alias("reported"))
+        out = j if out is None else out.unionByName(j)
+    return out.withColumnsRenamed(_MIXED)
 
 
 # Problem 9: long exact spans shared between records
@@ -208,6 +257,7 @@ QUERIES: dict[str, Query] = {
     "p3_percentiles": p3_percentiles,
     "p3_sketches": p3_sketches,
     "p3_rank_errors": p3_rank_errors,
+    "p3_merged_days": p3_merged_days,
     "p6_found": p6_found,
     "p6_top3": p6_top3,
     "p7_containers": p7_containers,
@@ -215,6 +265,9 @@ QUERIES: dict[str, Query] = {
     "p7_invariants": p7_invariants,
     "p8_order": p8_order,
     "p8_shares": p8_shares,
+    "p8_balanced_shares": p8_balanced_shares,
+    "p8_scheduled_order": p8_scheduled_order,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_shared": p9_shared,
     "p9_clusters": p9_clusters,
@@ -234,6 +287,12 @@ s as (select distinct y.yr, s.image_id, s.score, k.target_permille p from select
 r as (select *, count(*) over (partition by yr) n, count(*) over (partition by yr order by score desc range between unbounded preceding and current row) reach from s),
 c as (select yr, max(n) n, max(greatest(1, (n * p + 999) // 1000)) need, max(score) filter (where reach >= greatest(1, (n * p + 999) // 1000)) cutoff from r group by yr)
 """
+_SQL_P3 = rf"""
+with y as (select distinct image_id, {_SQL_YEAR} as year from images),
+t as (select distinct image_id, sharp_top3, luma from technical),
+m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
+u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
+select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)"""
 _SQL_P6 = """
 with s as (select distinct burst, image_id, score from selection where burst is not null and score is not null and not isnan(score)),
 r as (select *, row_number() over (partition by burst order by score desc, image_id) rank, count(*) over (partition by burst) n from s)
@@ -261,12 +320,11 @@ ORACLE_SQL: dict[str, str] = {
     "p1_groups": _sql_components(_SQL_P1, "image_id_a", "image_id_b", "image_id", "group_id", "group_size"),
     "p2_found": _SQL_P2 + "select r.yr as year, r.image_id from r join c using (yr) where r.score >= c.cutoff",
     "p2_cutoffs": _SQL_P2 + "select c.yr as year, c.n, c.need::bigint as need, c.cutoff, count(*) as kept from c join r using (yr) where r.score >= c.cutoff group by all",
-    "p3_rank_errors": rf"""
-with y as (select distinct image_id, {_SQL_YEAR} as year from images),
-t as (select distinct image_id, sharp_top3, luma from technical),
-m as (select image_id, 'sharp_top3' metric, sharp_top3 v from t union all select image_id, 'luma', luma from t),
-u as (select y.year, m.metric, count(*) n from m join y using (image_id) where v is not null and not isnan(v) and v >= 0 and not isinf(v) and y.year > 0 group by all)
-select year, metric, share::double as share, n, true as within from u, unnest([{", ".join(map(str, SHARES))}]) s(share)""",
+    "p3_rank_errors": _SQL_P3,
+    "p3_merged_days": _SQL_P3,
+    "p8_invariants": """
+with d as (select lower(trim(source)) source, count(*) n from documents where text != '' group by 1), z(size) as (values ('all'), ('targets'))
+select mix_name, lower(trim(t.source)) as source, size, coalesce(n, 0) as docs, true as capped, true as met, true as reported from mix_targets t cross join z left join d on d.source = lower(trim(t.source))""",
     "p7_invariants": """
 select pack_name, count(distinct doc_id) as docs, 0::bigint as overfull, 0::bigint as needless, 0::bigint as torn, true as "full" from pack_sizes, documents where capacity_tokens >= 1 group by 1""",
     "p9_found": _SQL_P9_PAIRS,

@@ -73,3 +73,16 @@ def test_segments_and_empty(spark):
     order, shares = run(spark, [], [("m", "a", 1.0, 1)])
     assert order == [] and shares["m", "a"]["used_tokens"] == 0
     assert run(spark, data(1, 10), [])[0] == []
+
+
+def test_targets_hold_at_the_largest_size(spark):
+    docs = data(5, 3000)
+    targets = [("m", "big", 0.5, 1), ("m", "mid", 0.2, 2), ("m", "tiny", 0.3, 3), ("e", "mid", 0.5, 1), ("e", "absent", 0.5, 4)]
+    _, shares = run(spark, docs, targets, size="targets")
+    used = sum(shares["m", s]["used_tokens"] for s in ("big", "mid", "tiny"))
+    for s, goal in (("big", 0.5), ("mid", 0.2), ("tiny", 0.3)):
+        assert shares["m", s]["reached_share"] == pytest.approx(goal, abs=0.01) and not shares["m", s]["short"]
+    assert used == pytest.approx(min(k * shares["m", s]["available_tokens"] / g for _, s, g, k in targets[:3]), rel=0.01)
+    assert shares["e", "mid"]["used_tokens"] == pytest.approx(shares["e", "mid"]["available_tokens"] / 2, rel=0.01) and shares["e", "absent"]["short"]
+    with pytest.raises(ValueError):
+        run(spark, docs, targets, size="none")

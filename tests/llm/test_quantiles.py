@@ -55,3 +55,13 @@ def test_days_merge_within_bound(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert percentiles(sketch(df, ["k"], "v"), ["k"], SHARES).count() == 0
+
+
+def test_tree_of_any_depth(spark, monkeypatch):
+    from framelake.llm import quantiles
+
+    monkeypatch.setattr(quantiles, "FAN_IN", 3)
+    values = np.random.default_rng(5).lognormal(0, 2, 40_000)
+    df = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double").repartition(20)
+    got = percentiles(sketch(df, ["k"], "v"), ["k"], SHARES).collect()
+    assert {r["n"] for r in got} == {40_000} and all(off(values, r["share"], r["value"]) <= BOUND for r in got)
