@@ -54,8 +54,9 @@ def prefixes(path: Column, sep: str = "/") -> Column:
 
 
 def shard_path(number: Column, suffix: str = "") -> Column:
-    """``0012/12345suffix``: thousands as a folder of four digits."""
-    return F.concat(F.lpad(F.floor(number / 1000).cast("string"), 4, "0"), F.lit("/"), number.cast("string"), F.lit(suffix))
+    """``0012/12345suffix``: thousands as a folder of at least four digits."""
+    folder = F.floor(number / 1000).cast("string")
+    return F.concat(F.when(F.length(folder) < 4, F.lpad(folder, 4, "0")).otherwise(folder), F.lit("/"), number.cast("string"), F.lit(suffix))
 
 
 def in_bucket(path: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:

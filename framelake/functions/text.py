@@ -81,3 +81,12 @@ def canonical_error(text: Column, longest: int = 500) -> Column:
 def json_for_page(value: Column) -> Column:
     """JSON text that may stand inside a script element: ``</`` is escaped."""
     return F.replace(F.to_json(value), F.lit("</"), F.lit("<\\/"))
+
+
+def first_match(value: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The name of the first (name, pattern) that is found in the value, whatever the case; null counts as ``other``."""
+    out = None
+    for name, pattern in rules:
+        cond = value.rlike("(?i)" + pattern)
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return F.lit(other) if out is None else out.otherwise(other)

@@ -165,6 +165,14 @@ def around_rank(rows: DataFrame, rank: str, wanted: int, size: int) -> DataFrame
     return rows.withColumn("_key", F.lit(1)).join(F.broadcast(top), "_key").where((F.col(rank) >= at) & (F.col(rank) < at + size)).drop("_key", "_top")
 
 
+def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn at random, the same ones for the same seed; every task sends its own ``n`` first only.
+
+    The draw is by a hash of ``key``, so it doesn't depend on how rows are spread; equal keys are drawn together.
+    """
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
 def slots(rows: DataFrame, order: Sequence[Column], size: int = 9) -> DataFrame:
     """Sheets of ``size`` rows: ``sheet`` from 0 and ``slot``, a letter from A."""
     b = batches(rows, order, size, "sheet")

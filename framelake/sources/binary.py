@@ -7,6 +7,7 @@ an error.
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,8 @@ SOF_MARKERS = (0xC0, 0xC1, 0xC2, 0xC3)  # JPEG frames: u16 height and width afte
 LOSSLESS = 0xC3
 BARE_MARKERS = {0x01, 0xD8, *range(0xD0, 0xD8)}  # JPEG markers without a length
 SUB_IFD, EXIF_IFD, JPEG_OFFSET, JPEG_LENGTH, STRIP_OFFSETS, STRIP_LENGTHS = 0x014A, 0x8769, 0x0201, 0x0202, 0x0111, 0x0117
-MOST_FOLDERS, MOST_ENTRIES, LEAST_JPEG = 16, 1000, 1024
-TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+MOST_HOPS, MOST_ENTRIES, LEAST_JPEG = 16, 1000, 1024
+TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8}
 
 
 def chunks(data: bytes) -> Iterator[tuple[str, int, int]]:
@@ -57,7 +58,8 @@ def jpeg_frame(data: bytes) -> tuple[int, int, int] | None:
 def embedded_jpegs(data: bytes) -> list[tuple[int, int]]:
     """Offset and length of the decodable JPEGs that the image folders of a TIFF-like file point to, largest first.
 
-    Folders are followed breadth first, each once, at most MOST_FOLDERS.
+    Folders are followed breadth first, each once; a chain of next folders for
+    at most MOST_HOPS, folders within a folder begin a chain of their own.
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
@@ -68,15 +70,16 @@ def embedded_jpegs(data: bytes) -> list[tuple[int, int]]:
         if not size or count > MOST_ENTRIES:
             return []
         start = at if size <= 4 else struct.unpack_from(order + "I", data, at)[0]
-        code = {1: "B", 3: "H", 4: "I", 13: "I"}.get(kind)
+        code = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q"}.get(kind)
         return list(struct.unpack_from(f"{order}{count}{code}", data, start)) if code and start + size <= len(data) else []
 
-    todo, seen, found = [struct.unpack_from(order + "I", data, 4)[0]], set(), set()
-    while todo and len(seen) < MOST_FOLDERS:
-        at = todo.pop(0)
-        if at in seen or at < 8 or at + 2 > len(data):
+    todo, hops, found = deque([(struct.unpack_from(order + "I", data, 4)[0], 1)]), {}, set()
+    while todo:
+        at, hop = todo.popleft()
+        # a folder reached again on a shorter chain is followed again, since more may lie behind it
+        if hop > MOST_HOPS or hops.get(at, MOST_HOPS + 1) <= hop or at < 8 or at + 2 > len(data):
             continue
-        seen.add(at)
+        hops[at] = hop
         (n,) = struct.unpack_from(order + "H", data, at)
         if n > MOST_ENTRIES or at + 2 + 12 * n > len(data):
             continue
@@ -84,9 +87,9 @@ def embedded_jpegs(data: bytes) -> list[tuple[int, int]]:
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             tags[tag] = values(kind, count, at + 10 + 12 * i)
-        todo += tags.get(SUB_IFD, []) + tags.get(EXIF_IFD, [])
+        todo.extend((to, 1) for to in tags.get(SUB_IFD, []) + tags.get(EXIF_IFD, []))
         if at + 6 + 12 * n <= len(data):
-            todo.append(struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0])
+            todo.append((struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0], hop + 1))
         found |= {*zip(tags.get(JPEG_OFFSET, []), tags.get(JPEG_LENGTH, [])), *(zip(tags.get(STRIP_OFFSETS, []), tags.get(STRIP_LENGTHS, [])) if len(tags.get(STRIP_OFFSETS, [])) == 1 else ())}
 
     def usable(span: tuple[int, int]) -> bool:

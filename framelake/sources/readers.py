@@ -6,6 +6,7 @@ import os
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,32 @@ def _listed_by_driver(spark: SparkSession, fs, roots: list, skip: Sequence[str])
     return spark.createDataFrame(rows, "path string, name string, size bigint, modified timestamp")
 
 
+def list_folders(folders: DataFrame) -> DataFrame:
+    """``folder``, ``name``, ``failure``: the entries of each folder (one level), listed where the row is.
+
+    A folder without entries is a row with a null name, one that can't be listed
+    a row with its failure: ``absent``, ``not_a_folder`` or ``unreadable``.  The
+    folders are paths of a file system that all executors have mounted.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch["folder"]:
+                names, failure = [None], None
+                try:
+                    with os.scandir(folder.removeprefix("file:")) as entries:
+                        names = sorted(e.name for e in entries) or [None]
+                except FileNotFoundError:
+                    failure = "absent"
+                except NotADirectoryError:
+                    failure = "not_a_folder"
+                except (OSError, ValueError):
+                    failure = "unreadable"
+                yield pd.DataFrame({"folder": folder, "name": names, "failure": failure}).astype({"failure": object})
+
+    return folders.where("folder is not null").select("folder").distinct().mapInPandas(run, "folder string, name string, failure string")
+
+
 def folder_states(listing: DataFrame, folders: DataFrame) -> DataFrame:
     """``folder``, ``state``, ``files``: ``listed``, or the failure that the listing table recorded (``absent``, ``not_a_folder``, ``unreadable``)."""
     n = listing.groupBy("folder").agg(F.count("name").alias("files"), F.max("failure").alias("failure"))
@@ -166,6 +193,17 @@ def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return t.select("line", "file", F.struct("file", "_b", "_i").alias("at"))
 
 
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_half(packed: pd.Series) -> pd.Series:
+    """Vectors of ``writers.to_half``."""
+    return packed.map(lambda b: np.frombuffer(bytes(b), dtype="<f2").astype(np.float32), na_action="ignore")
+
+
+def by_pointer(pointers: DataFrame, shards: DataFrame) -> DataFrame:
+    """Each pointer (``shard``, ``row``, further columns) with what the shard tables have in that row; pointers that lead nowhere are left out."""
+    return pointers.join(shards, ["shard", "row"])
+
+
 def vector_shards(shards: DataFrame, normalise: bool = True) -> DataFrame:
     """``id``, ``v`` of shard rows (``id``, ``v``, ``shard``): the later shard wins, vectors are scaled to length 1."""
     one = shards.groupBy("id").agg(F.max_by("v", "shard").alias("v"))
