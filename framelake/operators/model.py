@@ -7,11 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.functions.vectors import dot
 from framelake.operators.windows import ranked
 from framelake.staging import stage
 
@@ -40,8 +41,10 @@ def _fit(rows: DataFrame, c: float) -> LogisticRegressionModel:
 
 
 def _scored(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
-    v = rows.withColumn("features", array_to_vector(F.transform("v", lambda x: x.cast("double"))))
-    return model.transform(v).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    """``p`` from the coefficients, as built-in expressions (the model itself would drag its session into the tasks)."""
+    weights = F.array(*[F.lit(float(x)) for x in model.coefficients])
+    margin = dot(F.transform("v", lambda x: x.cast("double")), weights) + F.lit(float(model.intercept))
+    return rows.withColumn("p", 1 / (1 + F.exp(-margin)))
 
 
 def fit_preference(rows: DataFrame, c: float = 0.5, folds: int = 5, least_positives: int = 50, least_groups: int = 5) -> Preference | None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.physical import range_sorted, running_sum
+
 
 def zscores(rows: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Population z-scores over the whole table, NaN and null left out of the statistics and scored 0; a zero deviation counts as 1.
@@ -27,11 +29,24 @@ def blend(rows: DataFrame, weights: Mapping[str, float], name: str = "score") ->
     return z.withColumn(name, sum((F.col(f"{c}_z") * w for c, w in weights.items()), F.lit(0.0))).drop(*[f"{c}_z" for c in cols])
 
 
+def _value_counts(rows: DataFrame, keys: Sequence[str], value: str, *aggregates) -> DataFrame:
+    """Different values per key with ``_c`` (rows), ``_upto`` (rows up to and with it) and the aggregates; range-sorted, so a key may have any number of values."""
+    each = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"), *aggregates)
+    return running_sum(range_sorted(each, [*map(F.col, keys), F.col(value)], "values"), list(keys), F.col("_c"), "_upto").drop("_part", "_row")
+
+
+def _with_total(values: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``values`` with ``_n``, the rows of their key."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumn("_one", F.lit(1))
+    on = [F.col("_1") == F.col("_one"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    return values.withColumn("_1", F.lit(1)).join(n, on).drop("_1", "_one", *[f"_k{i}" for i in range(len(keys))])
+
+
 def _rank_sums(rows: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Positives, negatives and the sum of average ranks of positives per key, from counts of each different score."""
-    each = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("_p"), F.count("*").alias("_c"))
-    run = F.sum("_c").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    return each.withColumn("_r", run - F.col("_c") + (F.col("_c") + 1) / 2).groupBy(*keys).agg(F.sum("_p").alias("pos"), (F.sum("_c") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_ranks"))
+    usable = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    each = _value_counts(usable, keys, score, F.count_if(F.col(label)).alias("_p"))
+    return each.withColumn("_r", F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).groupBy(*keys).agg(F.sum("_p").alias("pos"), (F.sum("_c") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_ranks"))
 
 
 def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -46,17 +61,24 @@ def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> Da
 
 def percentile_ladder(rows: DataFrame, value: str, percents: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """The value at 0-based index floor(n * p / 100) of the ascending order, per percent."""
-    each = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys)
-    run = each.withColumn("_n", F.sum("_c").over(by)).withColumn("_upto", F.sum("_c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    usable = rows.where(F.col(value).isNotNull())
+    run = _with_total(_value_counts(usable, keys, value), usable, keys)
     asked = run.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("_i", F.least(F.expr("_n * percent div 100"), F.col("_n") - 1))
     return asked.where("_upto > _i and _upto - _c <= _i").select(*keys, "percent", value)
 
 
 def linear_percentiles(rows: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Percentiles by linear interpolation, exact, one row per share."""
-    p = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_p"))
-    return p.select(*keys, F.posexplode("_p").alias("_i", value)).select(*keys, F.element_at(F.array(*map(F.lit, shares)), F.col("_i") + 1).alias("share"), value)
+    """Percentiles by linear interpolation, exact, one row per share; a key without a value has none.
+
+    Read off from the counts of different values, so no task holds a key's values.
+    """
+    usable = rows.where(F.col(value).isNotNull())
+    run = _with_total(_value_counts(usable, keys, value), usable, keys)
+    asked = run.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("_h", (F.col("_n") - 1) * F.col("share"))
+    low, high, v = F.floor("_h"), F.ceil("_h"), F.col(value).cast("double")
+    has = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i)
+    ends = asked.where(has(low) | has(high)).groupBy(*keys, "share", "_h").agg(F.max(F.when(has(low), v)).alias("_a"), F.max(F.when(has(high), v)).alias("_b"))
+    return ends.select(*keys, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias(value))
 
 
 def shares(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

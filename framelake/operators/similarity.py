@@ -1,10 +1,11 @@
 """Nearest neighbours and suppression of near twins among vectors; exact.
 
-Search takes a set of queries against all rows in blocks: queries are packed
-into matrices of a fixed number of rows, every task multiplies its rows with
-each block and keeps the k best for each query, and these partial lists are
-merged.  The queries are broadcast only if counted small; otherwise blocks of
-queries meet blocks of rows in a shuffle.
+Search takes a set of queries against all rows in blocks: rows and queries are
+packed into matrices of a bounded number of bytes, every task multiplies its
+blocks with each block of queries and keeps the k best for each query, and these
+partial lists are merged.  Queries are broadcast ``BROADCAST_BYTES`` at a time, in
+as many passes over the rows as that takes, so rows are never copied or
+shuffled again.
 """
 
 from __future__ import annotations
@@ -14,50 +15,69 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.physical import broadcast_if_small, part_offsets, range_sorted
+from framelake.physical import part_offsets, range_sorted
 from framelake.staging import stage
 
-#: Rows of a matrix block.
-BLOCK = 2048
-#: Blocks of queries that are broadcast at most; more are shuffled to the blocks of rows.
-BROADCAST_BLOCKS = 32
+#: Bytes of a matrix block (of 8-byte numbers) and its most rows.
+BLOCK_BYTES, BLOCK = 4 << 20, 2048
+#: Bytes of query blocks that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
 #: Windows in a stretch of time that one task searches for near twins.
 STRETCH = 50
+#: Rows that ``suppress`` compares at once.
+SLICE = 256
 #: Near twins that a task holds before it sends them on.
 PAIRS = 100_000
 
 
-def _blocks(rows: DataFrame, prefix: str, size: int = BLOCK) -> DataFrame:
-    """Rows (``id``, ``v``) in numbered blocks: a hash of the id spreads them evenly."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("id", "v")).alias(prefix)).withColumnRenamed("_b", prefix + "_b")
+def _block_rows(rows: DataFrame) -> int:
+    """Rows of a block, by the length of the vectors."""
+    one = rows.select(F.size("v").alias("n")).first()
+    return max(16, min(BLOCK, BLOCK_BYTES // (8 * max(1, one["n"] if one else 1))))
+
+
+def _blocks(rows: DataFrame, prefix: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (``id``, ``v``) of equal ``keys`` in blocks numbered from 0: a hash of the id spreads them evenly."""
+    size = _block_rows(rows)
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("_n")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumn("_one", F.lit(1))
+    on = [F.col("_1") == F.col("_one"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    rows = rows.withColumn("_1", F.lit(1)).join(n, on).withColumn(f"{prefix}_b", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "_n")).cast("int"))
+    return rows.groupBy(*keys, f"{prefix}_b").agg(F.collect_list(F.struct("id", "v")).alias(prefix))
+
+
+def _matrix(block) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x["id"] for x in block]), np.stack([np.asarray(x["v"], dtype=float) for x in block])
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, drop_self: bool = False) -> DataFrame:
     """``qid``, ``id``, ``sim``, ``rank`` (1..k): the k rows of greatest dot product for each query, ties by id.
 
-    Both have bigint ``id`` and a vector ``v``; null vectors are left out.
+    Both have bigint ``id`` and a vector ``v``; null vectors and ids are left
+    out.  Equal similarities to twelve digits are ties.
     """
     q = stage(queries.where("v is not null and id is not null").select("id", "v"), "queries")
     r = stage(rows.where("v is not null and id is not null").select("id", "v"), "rows")
-    qb, rb = _blocks(q, "q"), _blocks(r, "r")
+    qb, rb = stage(_blocks(q, "q"), "query-blocks"), stage(_blocks(r, "r"), "row-blocks")
 
     def multiply(batches):
         for batch in batches:
             for qs, rs in zip(batch["q"], batch["r"]):
-                qi, ri = np.array([x["id"] for x in qs]), np.array([x["id"] for x in rs])
-                sim = np.stack([np.asarray(x["v"], dtype=float) for x in qs]) @ np.stack([np.asarray(x["v"], dtype=float) for x in rs]).T
+                (qi, qv), (ri, rv) = _matrix(qs), _matrix(rs)
+                sim = qv @ rv.T
                 order = np.lexsort((np.broadcast_to(ri, sim.shape), -np.round(sim, 12)), axis=1)[:, : k + drop_self]
                 at = np.arange(len(qi))[:, None]
                 yield pd.DataFrame({"qid": np.repeat(qi, order.shape[1]), "id": ri[order].ravel(), "sim": sim[at, order].ravel()})
 
-    # every block of queries meets every block of rows: the query set's blocks are exploded onto the row blocks
-    numbers = qb.agg(F.collect_list("q_b").alias("bs")).withColumn("_key", F.lit(1))
-    pairs = rb.withColumn("_key", F.lit(1)).join(numbers, "_key").withColumn("q_b", F.explode("bs"))
-    partial = pairs.select("r", "q_b").join(broadcast_if_small(qb, BROADCAST_BLOCKS), "q_b").select("q", "r").mapInPandas(multiply, "qid bigint, id bigint, sim double")
+    most = (qb.agg(F.max("q_b")).first()[0] or 0) + 1
+    step = max(1, BROADCAST_BYTES // BLOCK_BYTES)
+    partial = None
+    for first in range(0, most, step):
+        some = qb.where((F.col("q_b") >= first) & (F.col("q_b") < first + step)).select("q").withColumn("_key", F.lit(1))
+        met = rb.select("r").withColumn("_key", F.lit(1)).join(F.broadcast(some), "_key").select("q", "r").mapInPandas(multiply, "qid bigint, id bigint, sim double")
+        partial = met if partial is None else partial.unionByName(met)
     if drop_self:
         partial = partial.where("qid != id")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "id")
@@ -93,30 +113,56 @@ def suppress(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff:
     (column, width) only kept rows at most that far apart count; with ``cap``
     no more than that many are kept in a group.  The decision is sequential by
     definition, so a group is worked off in one task; rows are read in sorted
-    order and only kept vectors are held.
+    order, compared by matrix products, and only kept vectors are held (with
+    ``window`` those in reach).
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     cols = [*keys, "id"]
     at, width = window or (None, None)
 
     def run(batches):
-        now, kept, where, n = None, [], [], 0
+        now, n, first, have, held, where = None, 0, 0, 0, np.empty((0, 0)), np.empty(0)
         for b in batches:
+            if not len(b):
+                continue
+            x = np.stack([np.asarray(v, dtype=float) for v in b["v"]])
+            pos = b[at].to_numpy().astype(float) if at else np.zeros(len(b))
+            keys_of = list(zip(*[b[k] for k in keys])) if keys else [()] * len(b)
+            starts = [i for i in range(len(b)) if i == 0 or keys_of[i] != keys_of[i - 1]]
             out = []
-            pos = b[at].to_numpy() if at else np.zeros(len(b))
-            for i, (key, v) in enumerate(zip(zip(*[b[k] for k in keys]), b["v"])):
-                if key != now:
-                    now, kept, where, n = key, [], [], 0
-                if at:
-                    while where and pos[i] - where[0] > width:
-                        where.pop(0)
-                        kept.pop(0)
-                v = np.asarray(v, dtype=float)
-                if (cap is None or n < cap) and (not kept or float(np.max(np.stack(kept) @ v)) < cutoff):
-                    kept.append(v)
-                    where.append(pos[i])
-                    n += 1
-                    out.append(i)
+            for lo, hi in zip(starts, [*starts[1:], len(b)]):
+                if keys_of[lo] != now:
+                    now, n, first, have = keys_of[lo], 0, 0, 0
+                if held.shape[1] != x.shape[1]:
+                    held, where = np.empty((1024, x.shape[1])), np.empty(1024)
+                # rows against all kept before, SLICE at once; rows of a slice among themselves
+                for i in range(lo, hi, SLICE):
+                    part, p = x[i : min(hi, i + SLICE)], pos[i : min(hi, i + SLICE)]
+                    if at:
+                        first += int(np.searchsorted(where[first:have], p[0] - width, side="left"))
+                    old, when = held[first:have], where[first:have]
+                    near = part @ old.T >= cutoff
+                    if at:
+                        near &= p[:, None] - when[None, :] <= width
+                    blocked = near.any(axis=1)
+                    among = part @ part.T >= cutoff
+                    if at:
+                        among &= p[:, None] - p[None, :] <= width
+                    new: list[int] = []
+                    for j in np.flatnonzero(~blocked):
+                        if cap is not None and n >= cap:
+                            break
+                        if not among[j, new].any():
+                            new.append(int(j))
+                            n += 1
+                    if have + len(new) > len(held):
+                        size = max(2 * (have - first + len(new)), 1024)
+                        bigger, times = np.empty((size, held.shape[1])), np.empty(size)
+                        bigger[: have - first], times[: have - first] = held[first:have], where[first:have]
+                        held, where, have, first = bigger, times, have - first, 0
+                    held[have : have + len(new)], where[have : have + len(new)] = part[new], p[new]
+                    have += len(new)
+                    out += [i + j for j in new]
             yield b.iloc[out][cols]
 
     by = [*keys, *([at] if at and at not in order else []), *order]
@@ -124,13 +170,33 @@ def suppress(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff:
     return ready.select(*dict.fromkeys([*cols, "v", *([at] if at else [])])).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols))
 
 
-def most_similar(rows: DataFrame, others: DataFrame, keys: Sequence[str], cond: Column | None = None) -> DataFrame:
-    """``id``, ``other``, ``sim``: the row of ``others`` of equal ``keys`` that is most similar, ties by id."""
-    from framelake.functions.vectors import dot
+def most_similar(rows: DataFrame, others: DataFrame, keys: Sequence[str], earlier: bool = False) -> DataFrame:
+    """``id``, ``other``, ``sim``: the row of ``others`` of equal ``keys`` that is most similar, ties by id; with ``earlier`` only rows of a lower id, else any other.
 
-    a, b = rows.select(*keys, "id", "v"), others.select(*keys, F.col("id").alias("other"), F.col("v").alias("w"))
-    j = a.join(b, list(keys)).where(cond if cond is not None else F.col("id") != F.col("other")).select("id", "other", F.round(dot(F.col("v"), F.col("w")), 9).alias("sim"))
-    return j.groupBy("id").agg(F.max_by(F.struct("other", "sim"), F.struct("sim", -F.col("other"))).alias("s")).select("id", "s.other", "s.sim")
+    Blocks of equal keys meet, so a hot key is shared by as many tasks as it has
+    pairs of blocks; each gives one row for each of its queries.  Null keys are
+    in no group; null vectors and ids are left out.
+    """
+    usable = " and ".join(["id is not null", "v is not null", *[f"`{k}` is not null" for k in keys]])
+    a, b = (stage(df.where(usable).select(*keys, "id", "v"), "vectors") for df in (rows, others))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _blocks(a, "q", keys).join(_blocks(b, "r", keys), list(keys)).select(*keys, "q", "r", "q_b", "r_b")
+
+    def best(batches):
+        for batch in batches:
+            for qs, rs in zip(batch["q"], batch["r"]):
+                (qi, qv), (ri, rv) = _matrix(qs), _matrix(rs)
+                order = np.argsort(ri, kind="stable")
+                ri = ri[order]
+                sim = np.round(qv @ rv[order].T, 9)
+                sim[(ri[None, :] >= qi[:, None]) if earlier else (ri[None, :] == qi[:, None])] = -np.inf
+                at = np.argmax(sim, axis=1)  # the first, so the lowest id
+                top = sim[np.arange(len(qi)), at]
+                ok = top > -np.inf
+                yield pd.DataFrame({"id": qi[ok], "other": ri[at[ok]], "sim": top[ok]})
+
+    found = pairs.repartition(parts, "q_b", "r_b", *keys).select("q", "r").mapInPandas(best, "id bigint, other bigint, sim double")
+    return found.groupBy("id").agg(F.max_by(F.struct("other", "sim"), F.struct("sim", -F.col("other"))).alias("s")).select("id", "s.other", "s.sim")
 
 
 def _near_in_time(rows: DataFrame, width: float, cutoff: float, kinds: dict[str, str]) -> DataFrame:

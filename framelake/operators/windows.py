@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.vectors import bit_distance
-from framelake.physical import global_position, part_offsets, range_sorted
+from framelake.physical import global_position, group_position, part_offsets, range_sorted
+from framelake.staging import stage
 
 
 def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: float, bits: str | None = None, most_bits: int = 20) -> DataFrame:
@@ -23,21 +24,8 @@ def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: floa
     row's in more than ``most_bits`` bits; drift over several rows is allowed.
     Rows with a null time get a null burst and are no neighbours; null bits
     count as no difference.
-    """
-    timed = rows.where(F.col(time).isNotNull())
-    w = Window.partitionBy(*scope).orderBy(time, tie)
-    new = F.col(time) - F.lag(time).over(w) > gap
-    if bits:
-        new = new | F.coalesce(bit_distance(F.col(bits), F.lag(bits).over(w)) > most_bits, F.lit(False))
-    marked = timed.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1)))
-    numbered = marked.withColumn("burst", F.sum("_new").over(w)).drop("_new")
-    return numbered.unionByName(rows.where(F.col(time).isNull()).withColumn("burst", F.lit(None).cast("bigint")))
-
 
-def bursts_ranged(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: float, bits: str | None = None, most_bits: int = 20) -> DataFrame:
-    """As ``bursts``, for scopes that may hold any share of the rows.
-
-    Rows are range-sorted by (scope, time, tie) and staged, so a large scope
+    A scope may hold any share of the rows: they are range-sorted by (scope, time, tie) and staged, so a large scope
     spans many parts; each part gets the last row of the parts before it, and
     burst numbers are the part's own counts plus those of earlier parts.
     """
@@ -71,17 +59,15 @@ def group_size(rows: DataFrame, keys: Sequence[str], name: str = "group_size") -
 
 
 def scaled_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "scaled_rank") -> DataFrame:
-    """Ordinal rank within the group, scaled to -1/2 .. 1/2; 0 in a group of one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn(name, F.when(n > 1, (F.row_number().over(w) - 1) / (n - 1) - 0.5).otherwise(0.0))
+    """Ordinal rank within the group, scaled to -1/2 .. 1/2; 0 in a group of one.  A group may hold any share of the rows."""
+    pos = group_size(group_position(rows, list(keys), list(order), "scaled"), keys, "_n")
+    return pos.withColumn(name, F.when(F.col("_n") > 1, F.col("_pos") / (F.col("_n") - 1) - 0.5).otherwise(0.0)).drop("_n", "_pos")
 
 
 def quota(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], floor: int, share: float, least_rows: int = 1) -> DataFrame:
-    """The best max(floor, ceil(share * n)) rows of every group that has at least ``least_rows``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("_n", n).withColumn("_r", F.row_number().over(w)).where((F.col("_n") >= least_rows) & (F.col("_r") <= F.greatest(F.lit(floor), F.ceil(F.col("_n") * share - 1e-9)))).drop("_n", "_r")
+    """The best max(floor, ceil(share * n)) rows of every group that has at least ``least_rows``.  A group may hold any share of the rows."""
+    pos = group_size(group_position(rows, list(keys), list(order), "quota"), keys, "_n")
+    return pos.where((F.col("_n") >= least_rows) & (F.col("_pos") < F.greatest(F.lit(floor), F.ceil(F.col("_n") * share - 1e-9)))).drop("_n", "_pos")
 
 
 def ranked(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -141,10 +127,18 @@ def section_starts(rows: DataFrame, scope: Sequence[str], order: Sequence[Column
 
 
 def neighbours(rows: DataFrame, scope: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
-    """``before`` and ``after``: the value of the row before and after, the ends joined to a ring."""
-    w = Window.partitionBy(*scope).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns({"before": F.coalesce(F.lag(value).over(w), F.last(value).over(whole)), "after": F.coalesce(F.lead(value).over(w), F.first(value).over(whole))})
+    """``before`` and ``after``: the value of the row before and after, the ends joined to a ring.
+
+    Rows meet by their positions in the scope, so a scope may hold any share of them.
+    """
+    pos = stage(group_size(group_position(rows, list(scope), list(order), "ring"), scope, "_n"), "ring")
+    keys = [f"_k{i}" for i in range(len(scope))]
+    out = pos
+    for name, step in (("before", 1), ("after", -1)):
+        other = pos.select(*[F.col(k).alias(q) for k, q in zip(scope, keys)], F.pmod(F.col("_pos") + step, F.col("_n")).alias("_at"), F.col(value).alias(name))
+        on = [F.col("_pos") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(q)) for k, q in zip(scope, keys)]]
+        out = out.join(other, on).drop("_at", *keys)
+    return out.drop("_pos", "_n")
 
 
 def first_occurrence(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

@@ -52,3 +52,22 @@ def global_position(sorted_rows: DataFrame) -> DataFrame:
     """Add ``_pos``, the 0-based position in the whole order, to a ``range_sorted`` table."""
     before = part_offsets(sorted_rows, [], F.lit(1).cast("bigint"))
     return sorted_rows.join(F.broadcast(before), "_part").withColumn("_pos", F.col("_before") + F.col("_row")).drop("_before")
+
+
+def running_sum(sorted_rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of equal ``keys`` up to and with each row of a ``range_sorted`` table.
+
+    Null keys are a key of their own.  A key may span any number of parts; one row per part and key is all that meets elsewhere.
+    """
+    w = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    own = sorted_rows.withColumn("_own", F.sum(value).over(w))
+    before = part_offsets(sorted_rows, keys, value).withColumnsRenamed({k: f"_s{i}" for i, k in enumerate(["_part", *keys])})
+    on = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(["_part", *keys])]
+    drop = ["_own", "_before", *[f"_s{i}" for i in range(len(keys) + 1)]]
+    return own.join(before, on).withColumn(name, F.col("_own") + F.col("_before")).drop(*drop)
+
+
+def group_position(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add ``_pos``, the 0-based position among the rows of equal ``keys``, without bringing a key to one task."""
+    data = range_sorted(rows, [*map(F.col, keys), *order], name)
+    return running_sum(data, keys, F.lit(1).cast("bigint"), "_pos").withColumn("_pos", F.col("_pos") - 1).drop("_part", "_row")

@@ -99,14 +99,14 @@ def greedy_suppress(spark, d):
 
 @query(f"with s as (select a.vec_id id, b.vec_id other, round({_DOT}, 9) sim from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id where a.vec_id % 100 = 0) select id, arg_max(other, (sim, -other)) as other, round(max(sim), 6) as sim from s group by 1")
 def max_sim_same_group(spark, d):
-    s = similarity.most_similar(_asked(spark, d), _vectors(spark, d), ["label"], F.col("other") < F.col("id"))
+    s = similarity.most_similar(_asked(spark, d), _vectors(spark, d), ["label"], earlier=True)
     return s.withColumn("sim", F.round("sim", 6))
 
 
 @query(f"select a.vec_id as id from embeddings a where a.vec_id % 100 = 0 and not exists (select 1 from embeddings b where a.label = b.label and b.vec_id < a.vec_id and {_DOT} >= 0.2)")
 def none_similar(spark, d):
     q = _asked(spark, d)
-    near = similarity.most_similar(q, _vectors(spark, d), ["label"], F.col("other") < F.col("id")).where("sim >= 0.2")
+    near = similarity.most_similar(q, _vectors(spark, d), ["label"], earlier=True).where("sim >= 0.2")
     return q.select("id").join(near.select("id"), "id", "left_anti")
 
 
@@ -299,10 +299,12 @@ def _sink(spark, name):
 
 @query(ORACLE_SQL["merge_upsert"])
 def stream_upsert(spark, d):
-    s = _event_stream(spark, d).select("user_id", "event_type", "event_id", "value", "ts")
-    table = _sink(spark, "upsert")
-    inc.upsert_stream(s, table, table + "-log", ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
-    return inc.current(spark, table, s.schema).select("user_id", "event_type", "event_id", "value")
+    """Three files, out of order, one a batch: each later one is merged into what the earlier ones left."""
+    files, table = _sink(spark, "events"), _sink(spark, "upsert")
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    e.repartition(3, F.pmod("event_id", F.lit(3))).write.parquet(files)
+    inc.upsert_stream(inc.file_stream(spark, files, e.schema), table, table + "-log", ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
+    return inc.current(spark, table, e.schema).select("user_id", "event_type", "event_id", "value")
 
 
 _STREAM_SESSIONS = """
@@ -340,11 +342,12 @@ def _run_sessions(spark, stream, out, events, shift):
 
 @query("select event_type, time_bucket(interval '1 day', ts)::date::varchar as day, count(*) as n from events group by 1, 2")
 def stream_windows(spark, d):
+    """Counts per day and type; every batch's changed windows are merged into a table by their key."""
     s = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = "w" + uuid.uuid4().hex[:8]
-    w = inc.windowed_counts(s, "ts", "0 seconds", "1 day", ["event_type"])
-    w.writeStream.format("memory").queryName(out).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(out).select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    table = _sink(spark, "windows")
+    w = inc.windowed_counts(s, "ts", "0 seconds", "1 day", ["event_type"]).select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    inc.upsert_stream(w, table, table + "-log", ["event_type", "day"], ["n"], mode="update").awaitTermination()
+    return inc.current(spark, table, w.schema)
 
 
 # Features of Spark that the reference has no counterpart for

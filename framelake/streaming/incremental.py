@@ -21,36 +21,67 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], newest: Sequence[str]):
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], newest: Sequence[str], buckets: int = 16, mode: str = "append"):
     """Start a query that keeps the newest row of each key in ``table``; returns it.
 
-    Every batch writes its version of the table to a folder of its own, named
-    by batch id, so a repeated batch overwrites its own work only and the
-    result is the same (exactly once by key).
+    Keys are spread over ``buckets``.  A batch rewrites the buckets that its keys
+    fall into, in a folder named by batch id; the others stay where they are.
+    So a repeated batch overwrites its own work only, and the result is the same
+    (exactly once by key).  Buckets that were replaced before the last batch are
+    deleted.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, no: int) -> None:
-        fs_path = f"{table}/version={no:010d}"
-        old = current(spark, table, batch.schema, before=no)
-        upsert(old, batch, keys, newest).write.mode("overwrite").parquet(fs_path)
+        spread = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in spread.select("_bucket").distinct().collect())  # at most ``buckets``
+        where = _bucket_paths(spark, table, before=no)
+        old = _read_buckets(spark, [where[b] for b in touched if b in where], batch.schema)
+        merged = upsert(old, batch, keys, newest).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/version={no:010d}")
+        _drop_replaced(spark, table, no)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> list[tuple[int, dict[int, str]]]:
+    """Complete versions, oldest first, each with the paths of the buckets that it wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p = path(table)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.listStatus(p) if fs.exists(p) else []:
+        name = s.getPath().getName()
+        if name.startswith("version=") and fs.exists(path(f"{table}/{name}/_SUCCESS")):
+            no = int(name.partition("=")[2])
+            if before is None or no < before:
+                inside = [x.getPath().getName() for x in fs.listStatus(s.getPath())]
+                found.append((no, {int(x.partition("=")[2]): f"{table}/{name}/{x}" for x in inside if x.startswith("_bucket=")}))
+    return sorted(found)
+
+
+def _bucket_paths(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
+    return {b: at for _, written in _versions(spark, table, before) for b, at in written.items()}
+
+
+def _read_buckets(spark: SparkSession, at: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
+
+
+def _drop_replaced(spark: SparkSession, table: str, no: int) -> None:
+    """Delete what batches before ``no`` have replaced; what ``no`` itself replaces stays, in case it is run again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    keep = set(_bucket_paths(spark, table, before=no).values())
+    for version, written in _versions(spark, table, before=no):
+        for at in written.values():
+            if at not in keep:
+                p = path(at)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def current(spark: SparkSession, table: str, schema, before: int | None = None) -> DataFrame:
-    """The last complete version of a table written by ``upsert_stream``."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(table)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    versions = []
-    if fs.exists(p):
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("version=") and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f"{table}/{name}/_SUCCESS")):
-                versions.append(name)
-    versions = sorted(v for v in versions if before is None or int(v.partition("=")[2]) < before)
-    return spark.read.schema(schema).parquet(f"{table}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    """The rows of a table written by ``upsert_stream`` or ``feedback``, as of its last complete batch (or the last before one)."""
+    return _read_buckets(spark, sorted(_bucket_paths(spark, table, before).values()), schema)
 
 
 def windowed_counts(stream: DataFrame, time: str, late: str, width: str, keys: Sequence[str], slide: str | None = None) -> DataFrame:
@@ -154,14 +185,19 @@ def burst_stream(stream: DataFrame, entity: str, time: str, tie: str, gap_s: flo
     return marked.groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, start double, end double, events bigint", "t array<double>, i array<bigint>, h array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def feedback(stream: DataFrame, table: str, checkpoint: str, key: str, rebuild: Callable[[DataFrame], None]):
-    """Add the ids of every batch to an override set and rebuild what depends on it."""
+def feedback(stream: DataFrame, table: str, checkpoint: str, key: str, rebuild: Callable[[DataFrame], None], buckets: int = 16):
+    """Add the ids of every batch to an override set and rebuild what depends on it; only the buckets of new ids are written."""
     spark = stream.sparkSession
 
     def add(batch: DataFrame, no: int) -> None:
+        place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         ids = batch.select(key).where(f"{key} is not null").distinct()
-        old = current(spark, table, ids.schema, before=no)
-        old.union(ids).distinct().write.mode("overwrite").parquet(f"{table}/version={no:010d}")
+        touched = sorted(r[0] for r in ids.select(place).distinct().collect())  # at most ``buckets``
+        where = _bucket_paths(spark, table, before=no)
+        old = _read_buckets(spark, [where[b] for b in touched if b in where], ids.schema)
+        both = old.union(ids).distinct().withColumn("_bucket", place)
+        both.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/version={no:010d}")
+        _drop_replaced(spark, table, no)
         rebuild(current(spark, table, ids.schema))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

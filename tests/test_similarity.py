@@ -116,3 +116,27 @@ def test_taste_model_scores_all_vectors(spark, tmp_path):
     got = {r["id"]: r for r in QUERIES["taste_model"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(200)) and all(0 < r["score"] < 1 for r in got.values())
     assert all((r["p"] is None) == (i < 40) for i, r in got.items())
+
+
+def test_search_in_several_passes_and_hot_groups(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", similarity.BLOCK_BYTES)
+    v = np.random.default_rng(1).normal(size=(300, 4)).round(2)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else "b", [float(x) for x in v[i]]) for i in range(300)] + [(900, "hot", None)], "id bigint, g string, v array<double>")
+    q = rows.where("id % 4 = 0")
+    sim = np.round(v @ v.T, 9)
+    got = {(r["qid"], r["rank"]): r["id"] for r in similarity.top_k(q, rows, 2, drop_self=True).collect()}
+    for i in range(0, 300, 4):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(v[i] @ v[j]), 12), j))
+        assert [got[i, 1], got[i, 2]] == order[:2]
+    group = lambda i: "hot" if i % 3 else None if i % 2 else "b"
+    for earlier in (False, True):
+        want = {}
+        for i in range(0, 300, 4):
+            can = [j for j in range(300) if group(i) is not None and group(j) == group(i) and (j < i if earlier else j != i)]
+            if can:
+                want[i] = min(can, key=lambda j: (-sim[i, j], j))
+        assert {r["id"]: r["other"] for r in similarity.most_similar(q, rows, ["g"], earlier).collect()} == want
+    assert similarity.top_k(q.limit(0), rows, 2).count() == 0 and similarity.most_similar(q, rows.limit(0), ["g"]).count() == 0

@@ -160,3 +160,93 @@ def test_binary_structures(spark, order):
     assert got[4]["c"] == [] and got[5]["c"] is None and got[4]["j"] is None and got[6]["j"] is None and got[7]["j"] is None
     levels = spark.createDataFrame([([(90, "a"), (360, "b"), (720, "c")],)], "l array<struct<edge:int,n:string>>")
     assert [tuple(levels.select(binary.best_level(F.col("l"), s)).first()[0]) for s in (100, 720, 5000)] == [(360, "b"), (720, "c"), (720, "c")]
+
+
+def test_folders_with_typed_failures(spark, tmp_path):
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "_a").write_text("x")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file").write_text("x")
+    asked = [f"{tmp_path}/full", f"file:{tmp_path}/full", f"{tmp_path}/empty", f"{tmp_path}/file", f"{tmp_path}/none", "bad\0name", None]
+    df = spark.createDataFrame([(a,) for a in asked], "folder string")
+    got = {(r["folder"], r["name"], r["failure"]) for r in readers.list_folders(df).collect()}
+    assert got == {(asked[0], "_a", None), (asked[1], "_a", None), (asked[2], None, None), (asked[3], None, "not_a_folder"), (asked[4], None, "absent"), (asked[5], None, "unreadable")}
+    states = {r["folder"]: (r["state"], r["files"]) for r in readers.folder_states(readers.list_folders(df), df.where("folder is not null")).collect()}
+    assert states[asked[2]] == ("listed", 0) and states[asked[0]] == ("listed", 1) and states[asked[4]] == ("absent", 0)
+    assert readers.list_folders(df.limit(0)).count() == 0
+
+
+def test_copies_resume_and_never_overwrite(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / n).write_text(n * 100)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to" / "b").write_text("b" * 100)
+    (tmp_path / "to" / "c").write_text("else")
+    rows = [(f"{tmp_path}/{n}", f"{tmp_path}/to/{n}") for n in "abcx"] + [(None, "y"), (f"{tmp_path}/a", f"{tmp_path}/to/a")]
+    df = spark.createDataFrame(rows, "src string, dest string").withColumns({"size": F.lit(1), "state": F.lit("x")})
+    run = lambda: {r["src"][-1]: (r["size"], r["state"]) for r in writers.copy_files(df).collect()}
+    assert run() == {"a": (100, "copied"), "b": (100, "present"), "c": (100, "other"), "x": (None, "missing")}
+    assert run()["a"] == (100, "present") and (tmp_path / "to" / "c").read_text() == "else"
+    assert sorted(p.name for p in (tmp_path / "to").iterdir()) == ["a", "b", "c"]
+
+
+def test_first_success(spark):
+    def first(r):
+        if r["k"] == 2:
+            raise ValueError("broken")
+        return "one" if r["k"] == 1 else None
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (None, "d")], "k int, made string")
+    got = {r["k"]: (r["made"], r["made_by"], r["made_error"]) for r in writers.first_success(df, [("x", first), ("y", lambda r: r["made"] if r["k"] == 3 else None)]).collect()}
+    assert got == {1: ("one", "x", None), 2: (None, None, "x: broken"), 3: ("c", "y", None), None: (None, None, None)}
+    assert writers.first_success(df.limit(0), []).count() == 0
+
+
+def test_failed_batches_are_rolled_back(spark, tmp_path):
+    def write(rows):
+        raise writers.Contention("busy") if rows[0]["id"] == 0 else KeyError("gone")
+
+    def back(rows):
+        open(f"{tmp_path}/{rows[0]['id']}", "w").close()
+
+    out = writers.gated(spark.range(2).coalesce(1), write, 1, 3, back).collect()
+    assert [(r["tries"], r["error"]) for r in out] == [(3, "busy"), (1, "'gone'")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0", "1"]
+
+
+def test_log_counts_and_first_write_error(spark, tmp_path):
+    rows = spark.createDataFrame([("INFO", "a"), ("warning", "b"), ("ERROR", "c"), (None, "d")], "level string, message string")
+    assert writers.append_log(rows, f"{tmp_path}/log") == {"lines": 4, "warnings": 1, "errors": 1, "write_error": None}
+    (tmp_path / "file").write_text("x")
+    assert writers.append_log(rows, f"{tmp_path}/file/log")["write_error"]
+
+
+def test_upsert_table_recovers(spark, tmp_path):
+    import os
+
+    at = f"{tmp_path}/t"
+    one = spark.createDataFrame([(1, 1), (2, 1)], "id int, v int")
+    writers.upsert_table(spark, one, at, ["id"], ["v"])
+    os.rename(at, at + ".old")  # cut off after the old version was moved aside
+    writers.upsert_table(spark, spark.createDataFrame([(2, 5)], "id int, v int"), at, ["id"], ["v"])
+    assert {tuple(r) for r in spark.read.parquet(at).collect()} == {(1, 1), (2, 5)}
+    assert not os.path.exists(at + ".old") and not os.path.exists(at + ".next")
+
+
+def test_many_folders_and_long_chains():
+    from framelake.sources.binary import MOST_HOPS, SUB_IFD, embedded_jpegs
+
+    # one folder with 40 sub folders, the largest JPEG in the last; then a chain of 40 folders, where only so many hops count
+    pic = [jpeg(8, 8, 1100 + i) for i in range(40)]
+    head, n = b"II*\0" + struct.pack("<I", 8), len(pic)
+    first = struct.pack("<HHHII", 1, SUB_IFD, 4, n, 26) + struct.pack("<I", 0)
+    subs_at = 26 + 4 * n
+    folder = lambda at, size, following: struct.pack("<HHHIIHHII", 2, 0x0201, 4, 1, at, 0x0202, 4, 1, size)[:26] + struct.pack("<I", following)
+    pics_at = subs_at + 30 * n
+    starts = [pics_at + sum(map(len, pic[:i])) for i in range(n)]
+    wide = head + first + struct.pack(f"<{n}I", *[subs_at + 30 * i for i in range(n)]) + b"".join(folder(starts[i], len(pic[i]), 0) for i in range(n)) + b"".join(pic)
+    assert len(embedded_jpegs(wide)) == n and embedded_jpegs(wide)[0] == (starts[-1], len(pic[-1]))
+    at = [8 + 30 * i for i in range(n)]
+    starts = [8 + 30 * n + sum(map(len, pic[:i])) for i in range(n)]
+    chain = head + b"".join(folder(starts[i], len(pic[i]), at[i + 1] if i + 1 < n else 8) for i in range(n)) + b"".join(pic)
+    assert len(embedded_jpegs(chain)) == MOST_HOPS

@@ -97,3 +97,19 @@ def test_windows(spark, tmp_path):
     w = inc.windowed_counts(s, "ts", "0 seconds", "1 minute", ["k"])
     w.writeStream.format("memory").queryName("w_test").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {(r["k"], r["n"]) for r in spark.table("w_test").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    import os
+
+    from framelake.streaming import incremental as inc
+
+    src, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    schema = "k bigint, v bigint, t bigint"
+    for no, rows in enumerate([[(k, 0, 0) for k in range(200)], [(5, 1, 1), (5, 0, -1)], [(5, 2, 2)], [(900, 3, 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        inc.upsert_stream(inc.file_stream(spark, src, spark.createDataFrame([], schema).schema), table, table + "-log", ["k"], ["t"]).awaitTermination()
+    got = {r["k"]: r["v"] for r in inc.current(spark, table, spark.createDataFrame([], schema).schema).collect()}
+    assert got == {k: 0 for k in range(200)} | {5: 2, 900: 3}
+    folders = {v: sum(x.startswith("_bucket=") for x in os.listdir(f"{table}/{v}")) for v in sorted(os.listdir(table)) if v.startswith("version=")}
+    assert list(folders.values())[1:] in ([0, 1, 1], [1, 1, 1]) and 14 <= list(folders.values())[0] <= 16

@@ -32,12 +32,19 @@ def test_null_time_has_no_burst(spark):
     assert wn.bursts(df.limit(0), ["k"], "t", "id", 3).count() == 0
 
 
-def test_ranged_bursts_equal_the_window(spark):
+def test_bursts_equal_brute_force(spark):
     rows = [(i, "hot" if i % 3 else "ab"[i % 2], (i * 7919) % 900, (i * 2654435761) % 2**40) for i in range(2000)] + [(9000, None, 5, 1), (9001, "hot", None, 1), (9002, None, 6, None)]
     df = spark.createDataFrame(rows, "id bigint, k string, t bigint, h bigint").repartition(6)
     for bits in (None, "h"):
         a = {(r["id"], r["burst"]) for r in wn.bursts(df, ["k"], "t", "id", 0, bits=bits, most_bits=18).collect()}
-        assert a == {(r["id"], r["burst"]) for r in wn.bursts_ranged(df, ["k"], "t", "id", 0, bits=bits, most_bits=18).collect()}
+        want, last = {(9001, None)}, {}
+        for i, k, t, h in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+            no, before = last.get(k, (0, None))
+            if before is None or t - before[0] > 0 or (bits and h is not None and before[1] is not None and bin(h ^ before[1]).count("1") > 18):
+                no += 1
+            last[k] = no, (t, h)
+            want.add((i, no))
+        assert a == want
 
 
 def test_null_keys_are_one_group(spark):
@@ -98,3 +105,26 @@ def test_auc_with_ties_and_ladder(spark):
     assert [(r["k"], r["auc"]) for r in sc.auc(df, "s", "y", ["k"]).collect()] == [("a", 0.75)]
     v = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "v double")
     assert {r["percent"]: r["v"] for r in sc.percentile_ladder(v, "v", [1, 50, 99, 100]).collect()} == {1: 0.0, 50: 5.0, 99: 9.0, 100: 9.0}
+
+
+def test_positions_and_percentiles_of_hot_and_null_groups(spark):
+    from framelake.operators import scoring
+    from framelake.physical import group_position
+
+    rows = [(i, "hot" if i % 3 else None, (i * 37) % 101 / 4) for i in range(900)] + [(1000, "one", 5.0), (1001, "one", None)]
+    df = spark.createDataFrame(rows, "id bigint, k string, x double").repartition(7)
+    got = {r["id"]: r["_pos"] for r in group_position(df, ["k"], [F.col("x"), F.col("id")], "t").collect()}
+    for k in ("hot", None, "one"):
+        ids = [i for i, _, _ in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))]
+        assert [got[i] for i in ids] == list(range(len(ids)))
+    ring = {r["id"]: (r["before"], r["after"]) for r in wn.neighbours(df.where("k = 'hot'"), ["k"], [F.col("id")], "id").collect()}
+    ids = sorted(ring)
+    assert all(ring[i] == (ids[n - 1], ids[(n + 1) % len(ids)]) for n, i in enumerate(ids))
+    p = {(r["k"], r["share"]): r["x"] for r in scoring.linear_percentiles(df, "x", [0.0, 0.1, 0.5, 1.0], ["k"]).collect()}
+    import numpy as np
+
+    for k in ("hot", None, "one"):
+        xs = [x for _, g, x in rows if g == k and x is not None]
+        for s in (0.0, 0.1, 0.5, 1.0):
+            assert abs(p[k, s] - float(np.percentile(xs, 100 * s))) < 1e-9
+    assert scoring.linear_percentiles(df.limit(0), "x", [0.5]).count() == 0
