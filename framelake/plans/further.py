@@ -12,7 +12,7 @@ from framelake.operators import model, similarity
 from framelake.plans import changes as ch
 from framelake.plans.audit import query as _query
 from framelake.plans.audit import read
-from framelake.staging import shared_dir
+from framelake.staging import application_dir
 from framelake.streaming import incremental as inc
 
 QUERIES: dict = {}
@@ -162,13 +162,11 @@ def delta_clamp(spark, d):
 
 
 @query("""
-select distinct image_id, coalesce(clip_dark between 0 and 1 and clip_bright between 0 and 1 and clip_dark + contrast / 100 between 0 and 1 and clip_bright + 0.5 between 0 and 1 and contrast / 100 >= 0.05, false) as ok from technical""")
+select distinct image_id, coalesce(clip_dark between 0 and 1 and clip_bright between 0 and 1 and clip_dark + contrast / 100 between 0 and 1 and clip_bright + 0.5 between 0 and 1 and clip_dark + contrast / 100 - clip_dark >= 0.05, false) as ok from technical""")
 def crop_valid(spark, d):
     left, top = F.col("clip_dark"), F.col("clip_bright")
-    t = read(spark, d, "technical").withColumn("w", F.col("contrast") / 100)
-    right = left + F.col("w")
-    ok = F.coalesce(left.between(0, 1) & top.between(0, 1) & right.between(0, 1) & (top + 0.5).between(0, 1) & (F.col("w") >= 0.05), F.lit(False))
-    return t.select("image_id", ok.alias("ok")).distinct()
+    ok = vectors.valid_crop(left, top, left + F.col("contrast") / 100, top + 0.5)
+    return read(spark, d, "technical").select("image_id", ok.alias("ok")).distinct()
 
 
 @query(r"""
@@ -294,7 +292,7 @@ def _event_stream(spark, d):
 
 
 def _sink(spark, name):
-    return f"{shared_dir(spark)}/framelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 @query(ORACLE_SQL["merge_upsert"])

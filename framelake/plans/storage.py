@@ -14,7 +14,7 @@ from framelake.plans import changes as ch
 from framelake.plans.audit import query as _query
 from framelake.plans.audit import read
 from framelake.sources import binary, readers, sqlite, writers
-from framelake.staging import shared_dir, stage
+from framelake.staging import application_dir, stage
 from framelake.streaming import incremental as inc
 
 QUERIES: dict = {}
@@ -27,7 +27,7 @@ def query(sql=None):
 
 def _place(spark, name: str) -> str:
     """A new folder's path in the shared folder."""
-    return f"{shared_dir(spark)}/framelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _local(path: str) -> str:

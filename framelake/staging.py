@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _COUNTER = itertools.count()
+#: Folders that are deleted when their application ends.
+_LEAVING: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,14 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; deleted when its driver ends."""
+    sc = spark.sparkContext
+    home = f"{shared_dir(spark)}/framelake/{sc.applicationId}"
+    if home not in _LEAVING:
+        p = sc._jvm.org.apache.hadoop.fs.Path(home)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _LEAVING.add(home)
+    return home
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage, survives lost executors and keeps column
-    pruning and filter pushdown for later readers.
+    pruning and filter pushdown for later readers.  What no step has deleted
+    before goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framelake/{spark.sparkContext.applicationId}/{name}-{next(_COUNTER)}-{uuid.uuid4().hex[:8]}"
+    home = application_dir(spark)
+    path = f"{home}/{name}-{next(_COUNTER)}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -56,5 +73,5 @@ def unstage(*tables: DataFrame | None) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete everything that this application has staged; results not yet read are lost."""
     sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/framelake/{sc.applicationId}")
+    p = sc._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
