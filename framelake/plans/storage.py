@@ -37,7 +37,7 @@ def _local(path: str) -> str:
 # Tables and text files
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
 def sqlite_round_trip(spark, d):
     """A snapshot of a SQLite file that a writer holds open, read in ranges of its row ids."""
     import os
