@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.vectors import bit_distance
 from framelake.physical import global_position, group_position, part_offsets, range_sorted
-from framelake.staging import stage
+from framelake.staging import stage, unstage
 
 
 def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: float, bits: str | None = None, most_bits: int = 20) -> DataFrame:
@@ -48,6 +48,9 @@ def bursts(rows: DataFrame, scope: Sequence[str], time: str, tie: str, gap: floa
     starts = part_offsets(j, list(scope), F.col("_new")).withColumnsRenamed({k: f"_s{i}" for i, k in enumerate(["_part", *scope])})
     on = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(["_part", *scope])]
     numbered = j.join(starts, on).withColumn("burst", (F.col("_no") + F.col("_before")).cast("bigint")).select(*rows.columns, "burst")
+    # staged, since callers tend to read it several times
+    numbered = stage(numbered, "bursts")
+    unstage(data)
     return numbered.unionByName(rows.where(F.col(time).isNull()).withColumn("burst", F.lit(None).cast("bigint")))
 
 
